@@ -26,7 +26,7 @@ from moltide.operators.units import dataset_units
 from moltide.sources.tables import join_dimension, materialise, table
 
 #: Rows of a group that the centroids are fitted on, at most (a bounded sample; every row is then put into a cell).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 #: Rows that a cell should hold.
 CELL_ROWS = 1_000
 #: Centroids of all groups together, at most (they are sent to the executors: 65536 x 66 doubles are 35 MB).
@@ -72,10 +72,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     structures = table(spark, sf_dir, "structures")
     units = dataset_units(structures, table(spark, sf_dir, "datasets"))
-    units = units.select("dset_id", F.array_join(F.transform("z", lambda a: a.cast("string")), ",").alias("group_key"), F.array_join("comp_ids", ",").alias("comps"), F.size("z").alias("n_atoms"), "r_factor", "e_unit_real")
+    units = units.select("dset_id", F.array_join(F.transform("z", lambda a: a.cast("string")), ",").alias("group_key"), F.array_join("comp_ids", ",").alias("comps"), F.size("z").alias("n_atoms"), "mb", "r_factor", "e_unit_real")
     rows = join_dimension(structures.select("struct_id", "dset_id", "r", "e", "row_note"), units, "dset_id")
     unit = F.coalesce(row_energy_unit(F.col("row_note")), F.col("e_unit_real"))
-    return rows.select("struct_id", "group_key", "comps", "n_atoms", (F.col("e") * _factor(unit, ENERGY_UNITS)).alias("e"), "r", "r_factor")
+    return rows.select("struct_id", "group_key", "comps", "n_atoms", "mb", (F.col("e") * _factor(unit, ENERGY_UNITS)).alias("e"), "r", "r_factor")
 
 
 def complete(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
