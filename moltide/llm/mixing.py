@@ -5,15 +5,15 @@
 2. *Posteriors.* A document with a source belongs to it; one without gets the
    classifier's posterior over the mix's sources.
 3. *Rates.* Each document has a nonnegative rate up to its cap (max_repeats). Projected
-   gradient on 1/2 sum_s ((tokens_s - target_s) / target_s)^2, where tokens_s is the sum of
+   gradient on 1/2 sum_s (tokens_s - target_s)^2 / (tokens there are of s), where tokens_s is the sum of
    rate x size x posterior; each step is one aggregate over all documents, and the
    steps so far (a few numbers each) are replayed inside the next aggregate.
 4. *Copies.* floor(rate + a document's own uniform number + its source's shift); the
    shifts are set so that whole copies meet the targets, again from aggregates.
 
 The size of a mix is SLACK times the largest that the caps allow. Documents of other
-sources get no copies; a document without a source counts as its likeliest one when copies are
-drawn and as none in the reported shares.
+sources get no copies, nor do documents without a source whose posterior leaves it open
+(under MEMBERSHIP); the others count as their likeliest source.
 
 Defined results: null texts have no tokens and no copies; a source without documents is
 reported with a share of 0; targets that are null or not positive are left out;
@@ -35,6 +35,8 @@ from moltide.sources.tables import materialise
 
 BINS = 1 << 14
 STEPS = 12
+#: A document is drawn if one source holds at least so much of its posterior; else no share could count it.
+MEMBERSHIP = 0.9
 SLACK = 0.95
 #: Targets come to the driver; more rows than this are refused.
 MAX_TARGETS = 10_000
@@ -114,6 +116,7 @@ def _fit_rates(docs: DataFrame, where: np.ndarray, share: np.ndarray, cap: np.nd
     """Start rates per source and the gradient steps of one mix; ``where``: the mix's sources among the posterior's."""
     k = len(where)
     p = [F.col("p")[int(i)] for i in where]
+    docs = docs.filter(F.greatest(*p, F.lit(0.0)) >= MEMBERSHIP) if k > 1 else docs
     sums = [F.sum(F.col("n_tokens") * p[a] * p[b]) for a in range(k) for b in range(a, k)] + [F.sum(F.col("n_tokens") * x) for x in p]
     row = [float(x or 0.0) for x in docs.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
     gram, have = np.zeros((k, k)), np.array(row[-k:])
@@ -124,7 +127,7 @@ def _fit_rates(docs: DataFrame, where: np.ndarray, share: np.ndarray, cap: np.nd
         return np.zeros(k), np.zeros((0, k)), 0.0
     total = SLACK * float(np.min(cap[held] * have[held] / share[held]))
     target = share * total
-    weight = 1.0 / np.maximum(target, 1.0) ** 2
+    weight = 1.0 / np.maximum(have, 1.0)
     start = np.where(held, np.minimum(target / np.maximum(have, 1.0), cap), 0.0)
     # rates move by (posterior . weighted residual) / L, the gradient scaled by each document's size
     root = np.sqrt(weight)
@@ -156,6 +159,7 @@ def _posterior(batch: pa.RecordBatch) -> np.ndarray:
 def replay(post: np.ndarray, start: np.ndarray, steps: np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Rates after the projected steps, from each document's posterior."""
     most = post @ cap
+    most = np.where(post.max(1, initial=0.0) >= MEMBERSHIP, most, 0.0)
     rate = np.minimum(post @ start, most)
     for g in steps:
         rate = np.clip(rate - post @ g, 0.0, most)
@@ -205,7 +209,7 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     low, width, grid = dict.fromkeys(want, -1.0), 2.0, 40
     copies_at = lambda shift: F.least(F.greatest(F.floor(F.col("rate") + uniform + shift), F.lit(0)), F.col("cap"))
     by_source = lambda values: F.create_map(*[F.lit(x) for (m, s), v in values.items() for x in (f"{m}|{s}", v)])[F.concat_ws("|", "mix_id", "drawn_as")]
-    known = rates.filter("source is not null and n_tokens > 0")
+    known = rates.filter("rate > 0 and n_tokens > 0")
     for _ in range(3):
         shift = by_source(low)
         tokens = known.groupBy("mix_id", "drawn_as").agg(*[F.sum(F.col("n_tokens") * copies_at(shift + i * width / grid)).alias(f"g{i}") for i in range(grid + 1)]).collect()
@@ -214,7 +218,7 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
             at = int(np.clip(np.searchsorted(t, want[r.mix_id, r.drawn_as]) - 1, 0, grid - 1))
             low[r.mix_id, r.drawn_as] += at * width / grid
         width /= grid
-    drawn = rates.withColumn("copies", F.when(F.col("n_tokens") > 0, copies_at(by_source(low))).otherwise(0).cast("int"))
+    drawn = rates.withColumn("copies", F.when((F.col("n_tokens") > 0) & (F.col("rate") > 0), copies_at(by_source(low))).otherwise(0).cast("int"))
     return drawn.filter("copies > 0").drop("cap")
 
 
@@ -222,7 +226,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: target and reached share of the tokens, documents, tokens, and the most copies of one document."""
     mixed = mixed.withColumn("t", F.col("copies") * F.col("n_tokens"))
     whole = mixed.groupBy("mix_id").agg(F.sum("t").alias("all_tokens"))
-    held = mixed.groupBy("mix_id", "source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+    held = mixed.withColumn("source", F.col("drawn_as")).groupBy("mix_id", "source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     wanted = targets.select("mix_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null")
     rows = wanted.join(held, ["mix_id", "source"], "full").join(whole, "mix_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltide.llm import grouping, mixing, neighbours, packing, subset, vectors
+from moltide.llm import grouping, harm, mixing, neighbours, packing, subset, vectors
 from moltide.sources.tables import materialise, table
 
 #: Two records are the same place of the potential if their vectors are so close (angstrom).
@@ -72,5 +72,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p2_found, p2_neighbours, p2_recall, p5_subsets, p6_containers, p6_report, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with abusive, hateful or sexual content."""
+    return harm.harmful(harm.scores(table(spark, d, "documents"), table(spark, d, "review_labels")))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's score and its likeliest sentence."""
+    return harm.scores(table(spark, d, "documents"), table(spark, d, "review_labels"), "source")
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return harm.by_source(p8_scores(spark, d))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p2_found, p2_neighbours, p2_recall, p5_subsets, p6_containers, p6_report, p7_mixture, p7_shares, p8_found, p8_scores, p8_by_source)}
 ORACLE: dict[str, str] = {}
