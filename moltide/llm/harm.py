@@ -31,10 +31,10 @@ from moltide.llm.mixing import clean_source
 
 BINS = 1 << 18
 MAX_LABELLED = 20_000
-EPOCHS = 200
-RIDGE = 2e-4
+EPOCHS = 150
+RIDGE = 5e-5
 #: A document is reported as harmful from this score on.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 # Letters of other alphabets that look like Latin ones, and signs written for letters.
 _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝмнктвгαεορνικτυ", "aeopcyxijshdqwmhktbraeopvikty")
