@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from moltide.functions.chemistry import mass
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once: inside an array function any other expression is computed anew for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def n_atoms(r: Column) -> Column:
     return F.floor(F.size(r) / 3).cast("int")
 
@@ -66,18 +71,27 @@ def inverse_distances(r: Column, cell: tuple[float, float, float] | None = None)
 
 def descriptor_jacobian(r: Column, cell: tuple[float, float, float] | None = None) -> Column:
     """(r_i - r_j) / d^3 of every pair as an array of three."""
-    return over_pairs(r, lambda i, j, d: F.array(*[x / F.pow(norm(d), F.lit(3)) for x in d]), cell)
+    return over_pairs(r, lambda i, j, d: let(F.pow(norm(d), F.lit(3)), lambda cube: F.array(*[x / cube for x in d])), cell)
 
 
 def scatter_to_atoms(r: Column, pair_values: Column) -> Column:
-    """Forces on atoms from a number per pair: +value * jacobian on j, - on i, summed; 3 numbers an atom."""
-    terms = F.arrays_zip(over_pairs(r, lambda i, j, d: F.struct(i.alias("i"), j.alias("j"), *[(x / F.pow(norm(d), F.lit(3))).alias(f"d{k}") for k, x in enumerate(d)])).alias("p"), pair_values.alias("v"))
+    """Forces on atoms from a number per pair: for pair (i, j) its Jacobian times the number on j, minus that on i; 3 numbers an atom.
+
+    On atom a that is the sum over all others b of -(r_a - r_b) / d^3 times the pair's number.
+    """
+    n = n_atoms(r)
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "xyz"])
+
+    def on_atom(values: Column, a: Column) -> Column:
+        def add(s: Column, b: Column) -> Column:
+            high, low = F.greatest(a, b), F.least(a, b)
+            d = [p - q for p, q in zip(position(r, a), position(r, b), strict=True)]
+            pull = F.get(values, F.floor(high * (high - 1) / 2).cast("int") + low) / F.pow(norm(d), F.lit(3))
+            return F.when(a == b, s).otherwise(let(pull, lambda v: F.struct(*[(s[c] - x * v).alias(c) for c, x in zip("xyz", d, strict=True)])))
 
-    def component(a: Column, k: int) -> Column:
-        sign = lambda t: F.when(t["p"]["j"] == a, 1.0).when(t["p"]["i"] == a, -1.0).otherwise(0.0)
-        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + sign(t) * t["v"] * t["p"][f"d{k}"])
+        return let(F.aggregate(F.sequence(F.lit(0), n - 1), zero, add), lambda s: F.array(s["x"], s["y"], s["z"]))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), n_atoms(r) - 1), lambda a: F.array(*[component(a, k) for k in range(3)])))
+    return let(pair_values, lambda values: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: on_atom(values, a))))
 
 
 def center_of_mass(r: Column, z: Column, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -95,8 +109,7 @@ def center_of_mass(r: Column, z: Column, keep: Callable[[Column], Column] | None
 
 def centered(r: Column, z: Column) -> Column:
     """Coordinates relative to the center of mass."""
-    c = center_of_mass(r, z)
-    return F.transform(r, lambda x, i: x - F.when(i % 3 == 0, c["x"]).when(i % 3 == 1, c["y"]).otherwise(c["z"]))
+    return let(center_of_mass(r, z), lambda c: F.transform(r, lambda x, i: x - F.when(i % 3 == 0, c["x"]).when(i % 3 == 1, c["y"]).otherwise(c["z"])))
 
 
 def max_pair_distance(r: Column) -> Column:
@@ -105,13 +118,12 @@ def max_pair_distance(r: Column) -> Column:
 
 def com_distance_sum(r: Column, z: Column, entity_ids: Column) -> Column:
     """Sum over fragments of the distance of their center of mass to the whole's."""
-    whole = center_of_mass(r, z)
-
-    def to_whole(entity: Column) -> Column:
+    def to_whole(whole: Column, entity: Column) -> Column:
         part = center_of_mass(r, z, lambda i: F.get(entity_ids, i) == entity)
-        return norm([part[n] - whole[n] for n in ("x", "y", "z")])
+        return let(part, lambda p: norm([p[n] - whole[n] for n in ("x", "y", "z")]))
 
-    return F.aggregate(F.transform(F.array_distinct(entity_ids), to_whole), F.lit(0.0), lambda s, x: s + x)
+    lengths = let(center_of_mass(r, z), lambda whole: F.transform(F.array_distinct(entity_ids), lambda entity: to_whole(whole, entity)))
+    return F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x)
 
 
 def accepted(value: Column, cutoff: float | tuple[float, float] | None, bound: str = "upper") -> Column:
