@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moltide.llm.mixing import clean_source
 
@@ -160,7 +161,8 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
     """Texts and mean labels of at most MAX_LABELLED reviewed documents, those of the lowest hash."""
     mean = labels.filter("is_harmful is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("is_harmful").alias("y"))
     chosen = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").filter("text is not null").orderBy("doc_id").toArrow()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")  # at most MAX_LABELLED rows of two numbers
+    rows = rows.orderBy("doc_id").toArrow()
     return rows["text"].to_pylist(), rows["y"].to_numpy()
 
 
@@ -193,8 +195,6 @@ def scores(documents: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
             )
 
     fields = documents.select("doc_id", *keep).schema
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields.fields, T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType()), T.StructField("worst_score", T.DoubleType())])
     return documents.select("doc_id", *keep, "text").mapInArrow(score, schema)
 

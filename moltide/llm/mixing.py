@@ -37,6 +37,8 @@ BINS = 1 << 14
 STEPS = 12
 #: A document is drawn if one source holds at least so much of its posterior; else no share could count it.
 MEMBERSHIP = 0.9
+#: Rounds of setting shifts: over all documents, then over ever shorter ones.
+FILLS = 3
 SLACK = 0.95
 #: Targets come to the driver; more rows than this are refused.
 MAX_TARGETS = 10_000
@@ -203,22 +205,31 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     for _, _, _, part in parts[1:]:
         rates = rates.unionByName(part)
 
-    # shifts per mix and source so that whole copies meet the target: three ever finer grids of shifts, one aggregate each
+    # Shifts per mix and source so that whole copies meet the target from below: ever finer grids, one aggregate each.
+    # A long document may overshoot, so what is missing then is filled up by shifts of the shorter ones alone.
     uniform = F.pmod(F.xxhash64("doc_id", "mix_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
     want = {(m, s): float(t) for m, names, target, _ in parts for s, t in zip(names, target, strict=True)}
-    low, width, grid = dict.fromkeys(want, -1.0), 2.0, 40
-    copies_at = lambda shift: F.least(F.greatest(F.floor(F.col("rate") + uniform + shift), F.lit(0)), F.col("cap"))
     by_source = lambda values: F.create_map(*[F.lit(x) for (m, s), v in values.items() for x in (f"{m}|{s}", v)])[F.concat_ws("|", "mix_id", "drawn_as")]
+    copies_at = lambda shift: F.least(F.greatest(F.floor(F.col("rate") + uniform + shift), F.lit(0)), F.col("cap"))
     known = rates.filter("rate > 0 and n_tokens > 0")
-    for _ in range(3):
-        shift = by_source(low)
-        tokens = known.groupBy("mix_id", "drawn_as").agg(*[F.sum(F.col("n_tokens") * copies_at(shift + i * width / grid)).alias(f"g{i}") for i in range(grid + 1)]).collect()
-        for r in tokens:
-            t = np.array([float(r[f"g{i}"]) for i in range(grid + 1)])
-            at = int(np.clip(np.searchsorted(t, want[r.mix_id, r.drawn_as]) - 1, 0, grid - 1))
-            low[r.mix_id, r.drawn_as] += at * width / grid
-        width /= grid
-    drawn = rates.withColumn("copies", F.when((F.col("n_tokens") > 0) & (F.col("rate") > 0), copies_at(by_source(low))).otherwise(0).cast("int"))
+    grid, shift, limit = 40, F.lit(0.0), dict.fromkeys(want, float("inf"))
+    for fill in range(FILLS):
+        low, width = dict.fromkeys(want, 0.0 if fill else -1.0), 2.0
+        free = F.col("n_tokens") <= by_source(limit)
+        for _ in range(3):
+            at = by_source(low)
+            trial = lambda i: copies_at(shift + F.when(free, at + i * width / grid).otherwise(0.0))  # noqa: B023, E731
+            rows = known.groupBy("mix_id", "drawn_as").agg(*[F.sum(F.col("n_tokens") * trial(i)).alias(f"g{i}") for i in range(grid + 1)]).collect()  # one row a mix and source
+            held = {}
+            for r in rows:
+                key, t = (r.mix_id, r.drawn_as), np.array([float(r[f"g{i}"]) for i in range(grid + 1)])
+                k = int(np.clip(np.searchsorted(t, want[key], side="right") - 1, 0, grid))
+                low[key] += k * width / grid
+                held[key] = t[k]
+            width /= grid
+        shift = shift + F.when(free, by_source(low)).otherwise(0.0)
+        limit = {key: max(0.0, (want[key] - held.get(key, want[key])) / 10.0) for key in want}
+    drawn = rates.withColumn("copies", F.when((F.col("n_tokens") > 0) & (F.col("rate") > 0), copies_at(shift)).otherwise(0).cast("int"))
     return drawn.filter("copies > 0").drop("cap")
 
 

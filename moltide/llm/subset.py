@@ -159,7 +159,7 @@ def varied_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _global_order(keyed.groupBy("request_id", "subset_size", "cell").agg(F.count(F.lit(1)).alias("cell_rows")).select("request_id", "cell"))
     chosen = cells.join(requests.select("request_id", "subset_size"), "request_id")
     step = lambda x: F.floor(x * F.col("subset_size") / F.col("total"))
-    chosen = chosen.filter(step(F.col("position") + 1) > step(F.col("position"))).withColumn("quota", F.ceil(F.col("subset_size") / F.least("total", "subset_size")))
+    chosen = chosen.filter(step(F.col("position") + 1) > step(F.col("position")))
     sizes = keyed.groupBy("request_id", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
     most = requests.agg(F.max("subset_size")).first()[0] or 0
     in_cell = Window.partitionBy("request_id", "cell").orderBy("off", "struct_id")
@@ -167,8 +167,9 @@ def varied_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = keyed.withColumn("nth", F.row_number().over(in_cell)).filter(F.col("nth") <= int(most))
     picks = ranked.drop("subset_size").join(chosen, ["request_id", "cell"])
     few = F.col("total") < F.col("subset_size")
-    picks = picks.filter((F.col("nth") == 1) | few).join(sizes, ["request_id", "cell"])
+    picks = picks.join(sizes, ["request_id", "cell"])
     # where cells are fewer than picks, second and third records come in turn
     turn = Window.partitionBy("request_id").orderBy("nth", "position")
-    picks = picks.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("subset_size"))
-    return picks.select("request_id", "struct_id", "position", "cell_rows")
+    in_turn = picks.filter(few).withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("subset_size"))
+    columns = ["request_id", "struct_id", "position", "cell_rows"]
+    return picks.filter(~few & (F.col("nth") == 1)).select(*columns).unionByName(in_turn.select(*columns))
