@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ _RUN = re.compile(r"(.)\1+")
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters and look-alikes."""
+    if text.isascii():
+        return text.casefold()
     text = unicodedata.normalize("NFKD", text)
     text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\n\t")
     return text.casefold().translate(_LOOKALIKES)
@@ -80,24 +83,30 @@ def sentences(text: str) -> list[str]:
     return list(dict.fromkeys(s.strip() for s in _SENTENCE.split(text) if s and s.strip()))
 
 
-def _hash(s: str) -> int:
+_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+
+
+@lru_cache(maxsize=50_000)
+def _hashed(word: str) -> tuple[int, tuple[int, ...]]:
+    """64-bit hash of a word, and the bins of its 4-grams."""
     import xxhash
 
-    return xxhash.xxh32_intdigest(s) % BINS
+    grams = range(len(word) - 3) if 5 <= len(word) <= 24 else ()
+    return xxhash.xxh64_intdigest(word), tuple(xxhash.xxh32_intdigest("^" + word[i : i + 4]) % BINS for i in grams)
 
 
+@lru_cache(maxsize=20_000)
 def features(sentence: str) -> np.ndarray:
     """Distinct feature bins of a sentence: words, pairs, triples, pairs one apart, and 4-grams of longer words."""
     w = words(plain(sentence))
     if not w:
         return np.empty(0, np.int64)
-    w = ["<s>", *w, "</s>"]
-    f = set(w)
-    f.update(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
-    f.update(f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:], strict=False))
-    f.update(f"{a} _ {b}" for a, b in zip(w, w[2:], strict=False))
-    f.update(f"^{x[i : i + 4]}" for x in w if 5 <= len(x) <= 24 for i in range(len(x) - 3))
-    return np.fromiter({_hash(x) for x in f}, np.int64)
+    hashed = [_hashed(x) for x in ("<s>", *w, "</s>")]
+    h = np.array([x for x, _ in hashed], np.uint64)
+    joined = lambda *parts: sum(((x + np.uint64(i)) * m for i, (x, m) in enumerate(zip(parts, _MIX, strict=False))), np.uint64(len(parts))) >> np.uint64(40)
+    bins = [joined(h), joined(h[:-1], h[1:]), joined(h[:-2], h[1:-1], h[2:]), joined(h[:-2], h[2:]) ^ np.uint64(0x5A5A5)]
+    grams = [g for _, found in hashed for g in found]
+    return np.unique(np.concatenate([np.concatenate(bins).astype(np.int64) % BINS, np.array(grams, np.int64)]))
 
 
 class Bags:
