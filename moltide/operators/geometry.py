@@ -94,6 +94,16 @@ def scatter_to_atoms(r: Column, pair_values: Column) -> Column:
     return let(pair_values, lambda values: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: on_atom(values, a))))
 
 
+def jacobian_times(r: Column, v: Column) -> Column:
+    """For every pair its Jacobian's product with v_j - v_i, v three numbers an atom: how the descriptor moves with the atoms."""
+
+    def product(i: Column, j: Column, d: list[Column]) -> Column:
+        move = sum(x * (b - a) for x, a, b in zip(d, position(v, i), position(v, j), strict=True))
+        return move / F.pow(norm(d), F.lit(3))
+
+    return over_pairs(r, product)
+
+
 def center_of_mass(r: Column, z: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """Mass-weighted mean of the atoms for which keep(atom index) holds, as struct x, y, z, m."""
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "z", "m")])

@@ -87,6 +87,11 @@ def predict_raw(model: Model, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return model.sd * e + model.constant, model.sd * force.reshape(len(r), -1, 3)
 
 
+def evaluate(model, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Energies and forces by a kernel model, or by any object with ``z`` and ``evaluate(r)``: the hook for other potentials."""
+    return predict_raw(model, r) if isinstance(model, Model) else model.evaluate(r)
+
+
 def predict(records: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` with e_pred and f_pred; records: r (angstrom, complete, the model's atoms)."""
     fields = records.select(*keep).schema
@@ -95,7 +100,7 @@ def predict(records: DataFrame, model: Model, *keep: str) -> DataFrame:
         width = 3 * len(model.z)
         for batch in batches:
             r = batch.column(batch.schema.get_field_index("r")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, 3)
-            e, f = predict_raw(model, r) if batch.num_rows else (np.empty(0), np.empty((0, width)))
+            e, f = evaluate(model, r) if batch.num_rows else (np.empty(0), np.empty((0, width)))
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(e), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], [*keep, "e_pred", "f_pred"])

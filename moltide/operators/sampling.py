@@ -44,6 +44,18 @@ def stratified_sample(rows: DataFrame, keys: list[str], value: str, row_id: str,
     return ranked.join(quota, [*keys, "bin"]).filter(F.col("_rank") <= F.col("quota")).drop("_rank", "quota", "n_bins")
 
 
+def uniform(row_id: str) -> Column:
+    """A number in 0 ... 1 that belongs to the row: the first 32 bits of md5(row id)."""
+    return (F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def weighted_sample(rows: DataFrame, keys: list[str], weight: str, row_id: str, n: int) -> DataFrame:
+    """n rows of each key without replacement, with chances by weight (the n largest u^(1/weight)); weights that aren't positive are never drawn."""
+    lot = F.log(uniform(row_id)) / F.col(weight)
+    ranked = rows.filter(F.col(weight) > 0).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(lot.desc(), row_id)))
+    return ranked.filter(F.col("_place") <= n).drop("_place")
+
+
 def split(rows: DataFrame, train: DataFrame, row_id: str) -> DataFrame:
     """The rows that aren't in ``train``."""
     return rows.join(train.select(row_id), row_id, "left_anti")

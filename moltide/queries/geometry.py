@@ -86,6 +86,12 @@ def descriptor_jacobian(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("struct_id", *parts, *[F.round(F.get(force, F.lit(k)), 6).alias(f"first_{n}") for k, n in enumerate("xyz")])
 
 
+def descriptor_times_forces(spark: SparkSession, d: str) -> DataFrame:
+    """How every pair's descriptor moves along the forces: the least, largest and total of the products."""
+    x = g.jacobian_times(F.col("r"), F.col("f"))
+    return records(spark, d).filter("size(f) = 3 * size(z)").select("struct_id", x.alias("x")).select("struct_id", F.round(F.array_min("x"), 4).alias("least"), F.round(F.array_max("x"), 4).alias("largest"), F.round(_sum(F.col("x")), 3).alias("total"))
+
+
 def com_distance_sum(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("struct_id", F.round(g.com_distance_sum(F.col("r"), F.col("z"), F.col("entity_ids")), 6).alias("spread"))
 
@@ -122,7 +128,7 @@ def atoms_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     dataset_accessors, element_symbols, fragment_ids, unit_conversion, centered_structures, center_of_mass, pair_distances, pair_summary,
-    inverse_descriptor, descriptor_jacobian, com_distance_sum, criteria, minimum_image, stress, atoms_round_trip,
+    inverse_descriptor, descriptor_jacobian, descriptor_times_forces, com_distance_sum, criteria, minimum_image, stress, atoms_round_trip,
 )}
 
 _D = "with d as (select * from datasets qualify row_number() over (partition by dset_id order by loaded_at) = 1) "
@@ -151,6 +157,9 @@ ORACLE = {
     "inverse_descriptor": ATOMS + "select struct_id, count(*) as n_pairs, round(sum(1 / dist), 6) as total, round(max(1 / dist), 6) as largest from pairs group by 1",
     "descriptor_jacobian": ATOMS + """select struct_id, round(sum(dx / dist ** 3), 6) as sum_x, round(sum(dy / dist ** 3), 6) as sum_y, round(sum(dw / dist ** 3), 6) as sum_z,
         round(sum(case when j = 0 then dx / dist ** 3 else 0 end), 6) as first_x, round(sum(case when j = 0 then dy / dist ** 3 else 0 end), 6) as first_y, round(sum(case when j = 0 then dw / dist ** 3 else 0 end), 6) as first_z from pairs group by 1""",
+    "descriptor_times_forces": ATOMS + """, m as (select p.struct_id, (p.dx * (b.fx - a.fx) + p.dy * (b.fy - a.fy) + p.dw * (b.fz - a.fz)) / dist ** 3 as v from pairs p join atoms a on p.struct_id = a.struct_id and p.i = a.a
+          join atoms b on p.struct_id = b.struct_id and p.j = b.a where p.struct_id in (select struct_id from recs where len(f) = 3 * len(z)))
+        select struct_id, round(min(v), 4) as least, round(max(v), 4) as largest, round(sum(v), 3) as total from m group by 1""",
     "com_distance_sum": _SPREAD + "select struct_id, v as spread from spread",
     "criteria": _SPREAD + """select dset_id, sum((v < 8)::int) as upper, sum((v > 8)::int) as lower, sum((v > 5 and v < 10)::int) as between, count(*) as all_of_them from spread join recs using (struct_id) group by 1""",
     "minimum_image": ATOMS + f""", m as (select struct_id, max({_MIC_NORM}) as largest, sum({_MIC_NORM}) as total from pairs group by 1),

@@ -11,7 +11,7 @@ from moltide.operators import kernel, losses, sampling
 from moltide.operators import fragments as fr
 from moltide.operators import geometry as g
 from moltide.operators.units import dataset_units, to_common_units
-from moltide.plans import nbody
+from moltide.plans import nbody, search
 from moltide.queries.common import ATOMS, records
 from moltide.sources.tables import materialise, table
 
@@ -59,25 +59,35 @@ def _common(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(sets(datasets).select("dset_id", "entity_ids"), "dset_id")
 
 
+def _water_triples(rows: DataFrame) -> DataFrame:
+    return rows.filter("mb = 3 and array_join(comp_ids, ',') = 'wat,wat,wat'")
+
+
+def _start(water: DataFrame, n: int) -> DataFrame:
+    return sampling.stratified_sample(water.select("struct_id", F.lit(0).alias("k"), "e"), ["k"], "e", "struct_id", n)
+
+
+def _kind(water: DataFrame) -> tuple[tuple[int, ...], np.ndarray] | None:
+    """Atoms of the triples and the permutations of their equal hydrogens."""
+    row = water.select("z", "entity_ids").first()
+    return None if row is None else (tuple(row.z), group(swaps_of_equal_atoms(row.z, row.entity_ids), 16))
+
+
 def _three_body(spark: SparkSession, d: str) -> tuple[DataFrame, kernel.Model | None]:
     """All records in common units, and a three-body model of water trained on a stratified sample of TRAIN records."""
     rows = materialise(_common(spark, d), "common")
-    water = rows.filter("mb = 3 and array_join(comp_ids, ',') = 'wat,wat,wat'")
-    sample = sampling.stratified_sample(water.select("struct_id", F.lit(0).alias("k"), "e"), ["k"], "e", "struct_id", TRAIN)
-    points = water.join(sample.select("struct_id"), "struct_id").orderBy("struct_id").select("r", "f", "e", "z", "entity_ids").toPandas()  # TRAIN rows
-    if not len(points):
+    water = _water_triples(rows)
+    kind = _kind(water)
+    if kind is None:
         return rows, None
-    shape = (len(points), -1, 3)
-    r, f = (np.stack([np.asarray(v, float) for v in points[c]]).reshape(shape) for c in ("r", "f"))
-    z, ids = list(points.z.iloc[0]), list(points.entity_ids.iloc[0])
-    perms = group(swaps_of_equal_atoms(z, ids), 16)
-    return rows, kernel.train(spark, r, f, points.e.to_numpy(), tuple(z), 1.0, 1e-6, perms)
+    r, f, e, _ = search.training_rows(water, _start(water, TRAIN))
+    return rows, kernel.train(spark, r, f, e, kind[0], 1.0, 1e-6, kind[1])
 
 
 def model_errors(spark: SparkSession, d: str) -> DataFrame:
     """Energy and force errors of the three-body model on every three-body record of water, by data set."""
     rows, model = _three_body(spark, d)
-    water = rows.filter("mb = 3 and array_join(comp_ids, ',') = 'wat,wat,wat'")
+    water = _water_triples(rows)
     if model is None:
         return water.select("dset_id", *[F.lit(0.0).alias(c) for c in ("e_mae", "e_rmse", "f_rmse")], F.lit(0).alias("n"))
     told = kernel.predict(water, model, "struct_id", "dset_id", "e", "f")
@@ -105,6 +115,37 @@ def nbody_totals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("struct_id").join(sums, "struct_id")
 
 
+def strained_virial(spark: SparkSession, d: str) -> DataFrame:
+    """Virial of every triple of water from the model's forces and from strained copies, and how far they are apart."""
+    rows, model = _three_body(spark, d)
+    water = _water_triples(rows)
+    if model is None:
+        return water.select("struct_id", F.lit(0.0).alias("pressure"), F.lit(0.0).alias("apart"))
+    told = kernel.predict(water, model, "struct_id", "r").select("struct_id", g.virial(F.col("r"), F.col("f_pred")).alias("w"))
+    both = told.join(nbody.strained_virial(water.select("struct_id", "r"), model).withColumnRenamed("w", "w2"), "struct_id")
+    apart = F.array_max(F.zip_with("w", "w2", lambda a, b: F.abs(a - b)))
+    # a strain's (a, b) entry is the sum of f_a r_b: the transpose of r_a f_b, equal where no torque acts
+    return both.select("struct_id", ((F.get("w", F.lit(0)) + F.get("w", F.lit(4)) + F.get("w", F.lit(8))) / 3).alias("pressure"), apart.alias("apart"))
+
+
+def sigma_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Trials of a sigma grid for the three-body model, validated on all other triples."""
+    water = materialise(_water_triples(_common(spark, d)), "water")
+    kind = _kind(water)
+    if kind is None:
+        return water.select(F.lit(0.0).alias("sigma"), F.lit(0.0).alias("loss"), F.lit(0.0).alias("e_rmse"))
+    return search.sigma_grid(water, materialise(_start(water, TRAIN), "start"), kind[0], [0.3, 1.0, 3.0, 10.0], 1e-6, kind[1])[1]
+
+
+def active_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of active learning: the records of highest loss join the training set."""
+    water = materialise(_water_triples(_common(spark, d)), "water")
+    kind = _kind(water)
+    if kind is None:
+        return water.select(F.lit(0).alias("round"), F.lit(0).alias("n_train"), F.lit(0.0).alias("f_rmse"), F.lit(0.0).alias("worst"))
+    return search.active_learning(water, materialise(_start(water, TRAIN), "start"), kind[0], 1.0, 1e-6, 10, TRAIN + 20, kind[1])[1]
+
+
 def nested_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means on the pair distances of nine-atom records, then on the energies inside each cluster: ids and sizes."""
     from pyspark.ml.clustering import KMeans
@@ -127,7 +168,7 @@ def nested_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("outer", "inner").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("e_mean"))
 
 
-QUERIES = {q.__name__: q for q in (matern_rows, kernel_energies, model_errors, nbody_decomposed, nbody_totals, nested_clusters)}
+QUERIES = {q.__name__: q for q in (matern_rows, kernel_energies, model_errors, nbody_decomposed, nbody_totals, strained_virial, sigma_trials, active_rounds, nested_clusters)}
 
 _POINTS = ATOMS + f""", sized as (select struct_id, len(z) as n_atoms from recs), pt as (select struct_id as sid, n_atoms, row_number() over (partition by n_atoms order by struct_id) - 1 as p from sized qualify p < {POINTS}),
 x0 as (select n_atoms, p, i, j, 1 / dist as v from pairs join pt on struct_id = sid), x as (select struct_id, n_atoms, i, j, 1 / dist as v from pairs join sized using (struct_id))"""

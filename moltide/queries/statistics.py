@@ -73,6 +73,12 @@ def training_sample(spark: SparkSession, d: str) -> DataFrame:
     return train.select("dset_id", "struct_id", "bin").join(test, "dset_id", "left").withColumn("held_out", F.coalesce("held_out", F.lit(0)))
 
 
+def weighted_draw(spark: SparkSession, d: str) -> DataFrame:
+    """N_TRAIN records of every data set, drawn with chances by their force loss."""
+    rows = _errors(spark, d).select("dset_id", "struct_id", F.round("f_loss", 6).alias("w"))
+    return sampling.weighted_sample(rows, ["dset_id"], "w", "struct_id", N_TRAIN)
+
+
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Records by kind (atoms, theory, order of the energies), a bounded set of clusters, with their force loss."""
     kind = F.concat_ws("|", F.size("z"), F.coalesce("theory", F.lit("")), F.coalesce("mb", F.lit(0)))
@@ -141,7 +147,7 @@ def composition_fractions(spark: SparkSession, d: str) -> DataFrame:
 MOLECULES = {"wat": (18.015, 997.0), "amm": (17.031, 682.0), "mtl": (32.042, 792.0)}
 
 QUERIES = {q.__name__: q for q in (
-    energy_statistics, force_statistics, losses_by_theory, weighted_loss, rdf_oxygen, strata_counts, training_sample, cluster_losses,
+    energy_statistics, force_statistics, losses_by_theory, weighted_loss, rdf_oxygen, strata_counts, training_sample, weighted_draw, cluster_losses,
     problem_clusters, problem_quotas, problem_records, rising_losses, train_labels, integration_constant, composition_fractions,
 )}
 
@@ -178,6 +184,8 @@ ORACLE = {
     "training_sample": _STRATA + """, rk2 as (select dset_id, struct_id, bin, row_number() over (partition by dset_id, bin order by md5(struct_id::varchar), struct_id) as r from bn),
         tr as (select dset_id, struct_id, bin from rk2 join st using (dset_id, bin) where r <= quota), ho as (select dset_id, count(*) as held_out from bn where struct_id not in (select struct_id from tr) group by 1)
         select dset_id, struct_id, bin, coalesce(held_out, 0) as held_out from tr left join ho using (dset_id)""",
+    "weighted_draw": _ERR + f""", w as (select dset_id, struct_id, round(f_loss, 6) as w from err), u as (select *, ln((('0x' || substr(md5(struct_id::varchar), 1, 8))::bigint + 0.5) / {float(1 << 32)}) / w as lot from w where w > 0)
+        select dset_id, struct_id, w from u qualify row_number() over (partition by dset_id order by lot desc, struct_id) <= {N_TRAIN}""",
     "cluster_losses": _CL + " select * from cl",
     "problem_clusters": _CL + f""", h as (select *, sum(population) over (order by loss desc, cluster rows unbounded preceding) as held, avg(loss) over () as m from cl),
         c as (select *, coalesce(max(case when held >= {N_PROBLEM} then loss end) over (), min(loss) over ()) as cs from h), b as (select *, m * (1 + (1 - greatest(0, ceil(round(1 + 500 * (1 - cs / m), 9)))) / 500) as bound from c)

@@ -187,3 +187,28 @@ def test_permutation_group():
     assert len(g6) == 6 and symmetry.group(p, 5) is None
     assert {tuple(symmetry.inverse(x)) for x in g6} == {tuple(x) for x in g6}
     assert symmetry.cycles(np.array([1, 2, 0, 3])) == [[0, 1, 2]]
+
+
+def test_strained_copies_give_the_virial(spark):
+    from moltide.plans import nbody
+
+    r, f, e = _training(8)
+    model = kernel.train(spark, r, f, e, (8, 1, 1), 1.0, 1e-6)
+    rows = spark.createDataFrame([(i, r[i].ravel().tolist()) for i in range(8)], "struct_id bigint, r array<double>")
+    forces = kernel.predict_raw(model, r)[1]
+    for x in nbody.strained_virial(rows, model).collect():
+        assert np.allclose(np.reshape(x.w, (3, 3)), np.einsum("na,nb->ab", forces[x.struct_id], r[x.struct_id]), atol=1e-3)
+
+
+def test_descriptor_moves_with_the_atoms(spark):
+    r, v = RNG.normal(size=(3, 3)) * 2, RNG.normal(size=(3, 3))
+    h = 1e-6
+    slope = [(1 / np.linalg.norm(r[i] - r[j] + h * (v[i] - v[j])) - 1 / np.linalg.norm(r[i] - r[j])) / h for i in range(3) for j in range(i)]
+    df = spark.createDataFrame([(r.ravel().tolist(), v.ravel().tolist())], "r array<double>, v array<double>")
+    assert np.allclose(df.select(g.jacobian_times(F.col("r"), F.col("v"))).first()[0], slope, atol=1e-4)
+
+
+def test_weighted_draw(spark):
+    rows = spark.createDataFrame([(i, 1.0 if i % 2 else 9.0) for i in range(400)] + [(1000, 0.0), (1001, None)], "id bigint, w double").withColumn("k", F.lit(0))
+    got = [x.id for x in sampling.weighted_sample(rows, ["k"], "w", "id", 100).collect()]
+    assert len(set(got)) == 100 and max(got) < 1000 and sum(i % 2 == 0 for i in got) > 70
