@@ -72,7 +72,7 @@ def row_energy_unit(note: Column) -> Column:
     return _prose_e(F.when(note.rlike("[A-Za-z]"), note))
 
 
-def _factor(unit: Column, sizes: dict[str, float]) -> Column:
+def unit_factor(unit: Column, sizes: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[unit]
 
 
@@ -152,11 +152,11 @@ def dataset_units(structures: DataFrame, datasets: DataFrame) -> DataFrame:
     stated_r = F.coalesce("_lr", "_prose.r")
     r_unit = F.when(F.col("log_r").isNull(), stated_r).otherwise(by_bond["unit"])
     sets = sets.withColumn("r_unit_real", F.coalesce(r_unit, F.lit("angstrom"))).withColumn("_stated", F.coalesce("_le", "_prose.e"))
-    sets = sets.withColumns({"_expected": _expected_total(F.col("z")), "_log_a": F.log10(_factor(F.col("r_unit_real"), LENGTH_UNITS))})
+    sets = sets.withColumns({"_expected": _expected_total(F.col("z")), "_log_a": F.log10(unit_factor(F.col("r_unit_real"), LENGTH_UNITS))})
     sets = materialise(sets, "sets")
 
     # energies: candidates with their distance from what the numbers allow
-    stated_log = F.log10(_factor(F.col("_stated"), ENERGY_UNITS))
+    stated_log = F.log10(unit_factor(F.col("_stated"), ENERGY_UNITS))
     nbody = sets.filter(F.col("mb").isNotNull() & F.col("_stated").isNotNull())
     sizes = nbody.select((F.col("log_e") + stated_log).alias("se"), F.when(F.col("_prose.f").isNull(), F.col("log_f") + stated_log - F.col("_log_a")).alias("sf"))
     density_e, density_f = _likelihood(sizes, "se"), _likelihood(sizes, "sf")
@@ -182,9 +182,9 @@ def dataset_units(structures: DataFrame, datasets: DataFrame) -> DataFrame:
     return materialise(
         sets.select(
             "dset_id", "z", "comp_ids", "mb", "e_unit_real", "r_unit_real", "f_unit_real",
-            _factor(F.col("e_unit_real"), ENERGY_UNITS).alias("e_factor"),
-            _factor(F.col("r_unit_real"), LENGTH_UNITS).alias("r_factor"),
-            _factor(F.col("f_unit_real"), force_sizes).alias("f_factor"),
+            unit_factor(F.col("e_unit_real"), ENERGY_UNITS).alias("e_factor"),
+            unit_factor(F.col("r_unit_real"), LENGTH_UNITS).alias("r_factor"),
+            unit_factor(F.col("f_unit_real"), force_sizes).alias("f_factor"),
         ),
         "dataset-units",
     )
@@ -218,6 +218,6 @@ def to_common_units(structures: DataFrame, units: DataFrame, *keep: str) -> Data
     """
     rows = structures.select("struct_id", "dset_id", "e", "r", "f", "row_note", *keep)
     rows = _with_row_unit(rows, units.select("dset_id", "z", "comp_ids", "mb", "e_unit_real", "r_factor", "f_factor"))
-    e = F.col("e") * _factor(F.col("e_unit_real"), ENERGY_UNITS)
+    e = F.col("e") * unit_factor(F.col("e_unit_real"), ENERGY_UNITS)
     scaled = lambda x, by: F.transform(x, lambda v: v * F.col(by))
     return rows.select("struct_id", "dset_id", "z", "comp_ids", "mb", e.alias("e"), scaled(F.col("r"), "r_factor").alias("r"), scaled(F.col("f"), "f_factor").alias("f"), *keep)
