@@ -43,6 +43,7 @@ _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝмнктвгαεορν
 _SIGNS = str.maketrans("430157@$!|€", "aeoistasiie")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+")
 _APART = re.compile(r"(?<![\w])(?:[^\W\d_][ .\-_*·]{1,2}){2,}[^\W\d_](?![\w])")
+_LONE = re.compile(r"(?:\b[^\W\d_]\b[ .\-_*·]{1,2}){2}|[^\W\d_]_[^\W\d_]_")
 _TOKEN = re.compile(r"[^\W_]+(?:[*#@$!|€\-'’][^\W_]*)*[*#$]*|[?!]")
 _RUN = re.compile(r"(.)\1+")
 
@@ -58,32 +59,37 @@ def plain(text: str) -> str:
 
 def words(sentence: str) -> list[str]:
     """Normalised words of a plain sentence."""
-    sentence = _APART.sub(lambda m: re.sub(r"[^\w]", "", m.group()), sentence)
-    out = []
+    if _LONE.search(sentence):
+        sentence = _APART.sub(lambda m: re.sub(r"[^\w]", "", m.group()), sentence)
+    out: list[str] = []
     for token in _TOKEN.findall(sentence):
-        token = token.strip("-'’")
-        if not token:
-            continue
-        letters = sum(c.isalpha() for c in token)
-        if letters == 0:
-            out.append("#" if token[0].isdigit() else token)
-            continue
-        if "*" in token or re.search(r"\w#+\w|\w\$+$|\w#+$", token):
-            out.append("<blanked>")
-            out.append(_RUN.sub(r"\1", re.sub(r"[*#$\-]+", "*", token)))
-            continue
-        if letters < len(token) and letters >= 2 and not re.fullmatch(r"[^\W\d_]+[\-'’][^\W\d_\-]+.*|[^\W\d_]+\d+", token):
-            token = token.translate(_SIGNS)
-        out.extend(w for w in re.split(r"[\-'’@!|€]+", _RUN.sub(r"\1", token)) if w)
+        out.extend(_normal(token))
     return out
 
 
+@lru_cache(maxsize=50_000)
+def _normal(token: str) -> tuple[str, ...]:
+    """The normalised words of one token."""
+    token = token.strip("-'’")
+    if not token:
+        return ()
+    letters = sum(c.isalpha() for c in token)
+    if letters == 0:
+        return ("#" if token[0].isdigit() else token,)
+    if "*" in token or re.search(r"\w#+\w|\w\$+$|\w#+$", token):
+        return "<blanked>", _RUN.sub(r"\1", re.sub(r"[*#$\-]+", "*", token))
+    if letters < len(token) and letters >= 2 and not re.fullmatch(r"[^\W\d_]+[\-'’][^\W\d_\-]+.*|[^\W\d_]+\d+", token):
+        token = token.translate(_SIGNS)
+    return tuple(w for w in re.split(r"[\-'’@!|€]+", _RUN.sub(r"\1", token)) if w)
+
+
 def sentences(text: str) -> list[str]:
     """The text's distinct sentences in order; a run of single letters over line ends is no concern here."""
     return list(dict.fromkeys(s.strip() for s in _SENTENCE.split(text) if s and s.strip()))
 
 
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+_SHIFT = np.uint64(64 - 18)  # leaves BINS values
 
 
 @lru_cache(maxsize=50_000)
@@ -103,10 +109,9 @@ def features(sentence: str) -> np.ndarray:
         return np.empty(0, np.int64)
     hashed = [_hashed(x) for x in ("<s>", *w, "</s>")]
     h = np.array([x for x, _ in hashed], np.uint64)
-    joined = lambda *parts: sum(((x + np.uint64(i)) * m for i, (x, m) in enumerate(zip(parts, _MIX, strict=False))), np.uint64(len(parts))) >> np.uint64(40)
-    bins = [joined(h), joined(h[:-1], h[1:]), joined(h[:-2], h[1:-1], h[2:]), joined(h[:-2], h[2:]) ^ np.uint64(0x5A5A5)]
-    grams = [g for _, found in hashed for g in found]
-    return np.unique(np.concatenate([np.concatenate(bins).astype(np.int64) % BINS, np.array(grams, np.int64)]))
+    one, two, three = h * _MIX[0], h * _MIX[1], h * _MIX[2]
+    joined = np.concatenate([one, one[:-1] + two[1:], one[:-2] + two[1:-1] + three[2:], one[:-2] + three[2:]]) >> _SHIFT
+    return np.unique(np.concatenate([joined.astype(np.int64), np.array([g for _, found in hashed for g in found], np.int64)]))
 
 
 class Bags:

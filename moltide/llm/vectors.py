@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moltide.operators.units import dataset_units
-from moltide.sources.tables import join_dimension, materialise, table
+from moltide.functions.unit_grammar import ENERGY_UNITS
+from moltide.operators.units import dataset_units, row_energy_unit, unit_factor
+from moltide.sources.tables import join_dimension, table
 
 #: Rows of a group that the centroids are fitted on, at most (a bounded sample; every row is then put into a cell).
 SAMPLE_ROWS = 5_000
@@ -67,15 +68,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Only what the vectors need is read; the join with the data sets' units is the only shuffle, or none.
     """
-    from moltide.functions.unit_grammar import ENERGY_UNITS
-    from moltide.operators.units import _factor, row_energy_unit
-
     structures = table(spark, sf_dir, "structures")
     units = dataset_units(structures, table(spark, sf_dir, "datasets"))
     units = units.select("dset_id", F.array_join(F.transform("z", lambda a: a.cast("string")), ",").alias("group_key"), F.array_join("comp_ids", ",").alias("comps"), F.size("z").alias("n_atoms"), "mb", "r_factor", "e_unit_real")
     rows = join_dimension(structures.select("struct_id", "dset_id", "r", "e", "row_note"), units, "dset_id")
     unit = F.coalesce(row_energy_unit(F.col("row_note")), F.col("e_unit_real"))
-    return rows.select("struct_id", "group_key", "comps", "n_atoms", "mb", (F.col("e") * _factor(unit, ENERGY_UNITS)).alias("e"), "r", "r_factor")
+    return rows.select("struct_id", "group_key", "comps", "n_atoms", "mb", (F.col("e") * unit_factor(unit, ENERGY_UNITS)).alias("e"), "r", "r_factor")
 
 
 def complete(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
