@@ -15,8 +15,9 @@ their energies at most ``window``. Steps, all as Spark jobs:
    one, under the smallest id. Repeated until nothing moves.
 5. *Check and ranks.* In every cluster all pairs are compared, in blocks: the mean affinity
    to the members ranks them, and a cluster whose records aren't all similar is
-   divided (complete linkage in the order of rank; above BLOCK records canopies of half
-   the reach, whose members are similar by the triangle inequality).
+   divided by complete linkage in the order of rank, whatever its size. Above BLOCK
+   records that goes by chunks of the order: each is compared with all earlier ones in
+   block jobs, then placed in one task.
 
 Defined results: incomplete records and null or NaN energies take no part; repeated
 deliveries count once; a record similar to none is a cluster of its own; ties go to
@@ -179,6 +180,29 @@ def _k_means(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     return labels
 
 
+def _apart(x: np.ndarray, e: np.ndarray, base: np.ndarray, base_e: np.ndarray, reach: float, window: float) -> np.ndarray:
+    return (squared(x, base) > reach * reach + 1e-12) | (np.abs(e[:, None] - base_e[None]) > window)
+
+
+def first_fit(apart: np.ndarray, allowed: list[list[int]] | None = None, base: int = 0) -> np.ndarray:
+    """Complete linkage: the group of each row, in order, the first one without a member that it is apart from.
+
+    ``allowed``: the groups of earlier chunks (numbers below ``base``, rising) that each row fits into; new groups count from ``base``.
+    """
+    group, new = np.full(len(apart), -1, np.int64), 0
+    for i in range(len(apart)):
+        held = group[:i][apart[i, :i]]
+        old = next((g for g in allowed[i] if not (held == g).any()), None) if allowed is not None else None
+        if old is None:
+            taken = np.zeros(new + 1, bool)
+            taken[held[held >= base] - base] = True
+            at = int(taken.argmin())
+            new = max(new, at + 1)
+            old = base + at
+        group[i] = old
+    return group
+
+
 def _check_cluster(x: np.ndarray, e: np.ndarray, ids: np.ndarray, reach: float, window: float) -> tuple[np.ndarray, np.ndarray]:
     """Cluster id (smallest struct_id) and mean affinity of each row of a cluster of at most BLOCK records."""
     n, ok = len(ids), float(e.max() - e.min()) <= window
@@ -191,27 +215,21 @@ def _check_cluster(x: np.ndarray, e: np.ndarray, ids: np.ndarray, reach: float,
     if ok:
         return np.full(n, ids.min()), affinity
     # complete linkage, the most typical records first; each looks for the first cluster it is wholly similar to
-    cluster = np.full(n, -1)
     order = np.lexsort((ids, -affinity.round(9)))
-    groups: list[list[int]] = []
-    for i in order:
-        for g, members in enumerate(groups):
-            gap = x[members] - x[i]
-            if (np.abs(e[members] - e[i]) <= window).all() and (np.einsum("ij,ij->i", gap, gap) <= limit).all():
-                members.append(i)
-                cluster[i] = g
-                break
-        else:
-            cluster[i] = len(groups)
-            groups.append([i])
+    group = np.empty(n, np.int64)
+    group[order] = first_fit(_all_apart(x[order], e[order], reach, window))
     out = np.empty(n, np.int64)
-    for members in groups:
-        m = np.array(members)
+    by_group = np.argsort(group, kind="stable")
+    for m in np.split(by_group, np.flatnonzero(np.diff(group[by_group])) + 1):
         out[m] = ids[m].min()
         affinity[m] = np.exp(-squared(x[m], x[m]) / (2.0 * reach * reach)).mean(1)
     return out, affinity
 
 
+def _all_apart(x: np.ndarray, e: np.ndarray, reach: float, window: float) -> np.ndarray:
+    return np.concatenate([_apart(x[a : a + 1024], e[a : a + 1024], x, e, reach, window) for a in range(0, len(x), 1024)])
+
+
 def _ranked(reach: float, window: float):
     def of_bucket(bucket: pa.Table) -> pa.Table:
         label, ids, e = bucket["label"].to_numpy(), bucket["struct_id"].to_numpy(), bucket["e"].to_numpy()
@@ -228,10 +246,16 @@ def _ranked(reach: float, window: float):
     return of_bucket
 
 
-def _rank_large(rows: DataFrame, reach: float, window: float) -> DataFrame:
-    """The same for clusters of more than BLOCK records: pairs of blocks, each giving sums only."""
+def _rank_small(rows: DataFrame, total: int, reach: float, window: float) -> DataFrame:
+    """Clusters of at most BLOCK records, ``total`` together, checked whole in buckets of about BLOCK records."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(max(1, total // BLOCK))))
+    return rows.select("bucket", "label", "group_key", "struct_id", "e", "xyz").groupBy("bucket").applyInArrow(_ranked(reach, window), _RANKED)
+
+
+def _compared(rows: DataFrame, reach: float, window: float) -> DataFrame:
+    """Per record of clusters of any size: sum of affinities to the members and number of members apart. Pairs of blocks, each giving sums only."""
     blocked = rows.withColumn("_n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("struct_id"), F.col("_n")).cast("int"))
-    left = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("other")).withColumn("asks", F.lit(True))
+    left = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("other"))
     # a block pair (asking, answering): the asking rows go to every pair of their block, the answering ones likewise
     asking = left.select("label", "group_key", "struct_id", "e", "xyz", F.col("_own").alias("b1"), F.col("other").alias("b2"), F.lit(True).alias("asks"))
     answering = left.select("label", "group_key", "struct_id", "e", "xyz", F.col("other").alias("b1"), F.col("_own").alias("b2"), F.lit(False).alias("asks"))
@@ -249,20 +273,94 @@ def _rank_large(rows: DataFrame, reach: float, window: float) -> DataFrame:
         return pa.table({"label": pair["label"].take(pa.array(q)), "struct_id": pa.array(ids[q]), "near": pa.array(near), "apart": pa.array(apart)})
 
     sums = asking.unionByName(answering).groupBy("label", "b1", "b2").applyInArrow(compare, "label bigint, struct_id bigint, near double, apart bigint")
-    sums = materialise(sums.groupBy("label", "struct_id").agg(F.sum("near").alias("near"), F.sum("apart").alias("apart")), "large")
-    state = sums.groupBy("label").agg(F.sum("apart").alias("apart"), F.min("struct_id").alias("cluster_id"), F.count(F.lit(1)).alias("n"))
-    whole = sums.select("label", "struct_id", "near").join(state.filter("apart = 0"), "label").select("struct_id", "label", "cluster_id", (F.col("near") / F.col("n")).alias("affinity"))
-    # clusters that aren't all similar: canopies of half the reach inside chunks
-    loose = rows.join(state.filter("apart > 0").select("label"), "label").withColumn("chunk", F.pmod(F.xxhash64("struct_id"), F.ceil(F.col("size") / CHUNK)).cast("int"))
+    return materialise(sums.groupBy("label", "struct_id").agg(F.sum("near").alias("near"), F.sum("apart").alias("apart")), "large")
+
+
+_PLACED = "label bigint, step int, group_key string, struct_id bigint, e double, xyz binary, group bigint"
+
+
+def _divided(rows: DataFrame, reach: float, window: float) -> DataFrame:
+    """label, struct_id, group: complete linkage in the order of ``affinity`` (then struct_id) of each label's records, as ``first_fit`` does in one task.
+
+    The order is cut into chunks of at most BLOCK records. A chunk's records fit into a group of earlier
+    chunks if in every chunk with members of it none is apart from them.
+    """
+    ordered = rows.orderBy("label", F.round("affinity", 9).desc(), "struct_id").withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    block = F.floor((F.col("_at") - F.shiftleft(part, 33)) / BLOCK)
+    ordered = materialise(ordered.withColumn("block", (F.shiftleft(part, 33) + block).cast("bigint")), "order")
+    steps, last = [], {}
+    for label, number in sorted(tuple(r) for r in ordered.select("label", "block").distinct().collect()):  # about rows / BLOCK
+        last[label] = last.get(label, -1) + 1
+        steps.append((label, number, last[label]))
+    if not steps:
+        return rows.select("label", "struct_id", F.lit(0).cast("bigint").alias("group")).limit(0)
+    steps = rows.sparkSession.createDataFrame(steps, "label bigint, block bigint, step int")
+    ordered = ordered.join(F.broadcast(steps), ["label", "block"]).select("label", "step", "group_key", "struct_id", "e", "xyz", "_at")
+
+    def fits(pair: pa.Table) -> pa.Table:
+        key, ids, e, group = pair["group_key"][0].as_py(), pair["struct_id"].to_numpy(), pair["e"].to_numpy(), pair["group"].to_numpy()
+        x = vectors_of(pair["xyz"].combine_chunks(), key)
+        q, b = np.flatnonzero(group < 0), np.flatnonzero(group >= 0)
+        b = b[np.argsort(group[b], kind="stable")]
+        numbers, starts = np.unique(group[b], return_index=True)
+        who, what = [ids[:0]], [group[:0]]
+        for a in range(0, len(q) if len(b) else 0, 1024):
+            at = q[a : a + 1024]
+            i, g = np.nonzero(~np.logical_or.reduceat(_apart(x[at], e[at], x[b], e[b], reach, window), starts, axis=1))
+            who.append(ids[at][i])
+            what.append(numbers[g])
+        who, what = np.concatenate(who), np.concatenate(what)
+        return pa.table({"label": pa.array(np.full(len(who), pair["label"][0].as_py()), pa.int64()), "struct_id": pa.array(who, pa.int64()), "group": pa.array(what, pa.int64())})
+
+    def place(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("_at")
+        x, e, step = vectors_of(chunk["xyz"].combine_chunks(), chunk["group_key"][0].as_py()), chunk["e"].to_numpy(), chunk["step"][0].as_py()
+        group = first_fit(_all_apart(x, e, reach, window), [g or [] for g in chunk["allowed"].to_pylist()], step << 32)
+        return pa.table([*(chunk[c] for c in ("label", "step", "group_key", "struct_id", "e", "xyz")), pa.array(group)], names=["label", "step", "group_key", "struct_id", "e", "xyz", "group"])
+
+    done = None
+    for step in range(max(last.values()) + 1):
+        chunk = ordered.filter(F.col("step") == step)
+        if done is None:
+            chunk = chunk.withColumn("allowed", F.lit(None).cast("array<bigint>"))
+        else:
+            asking = chunk.select("label", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("step"), "group_key", "struct_id", "e", "xyz", F.lit(-1).cast("bigint").alias("group"))
+            # a label that has no chunk of this step asks nothing
+            answering = done.join(chunk.select("label").distinct(), "label", "left_semi").select(*asking.columns)
+            fit = asking.unionByName(answering).groupBy("label", "step").applyInArrow(fits, "label bigint, struct_id bigint, group bigint")
+            present = done.select("label", "group", "step").distinct().groupBy("label", "group").agg(F.count(F.lit(1)).alias("chunks"))
+            fit = fit.groupBy("label", "struct_id", "group").agg(F.count(F.lit(1)).alias("n")).join(present, ["label", "group"]).filter("n = chunks")
+            chunk = chunk.join(fit.groupBy("label", "struct_id").agg(F.sort_array(F.collect_list("group")).alias("allowed")), ["label", "struct_id"], "left")
+        columns = ["label", "step", "group_key", "struct_id", "e", "xyz", "_at", "allowed"]
+        placed = materialise(chunk.select(*columns).groupBy("label").applyInArrow(place, _PLACED), "placed")
+        done = placed if done is None else done.unionByName(placed)
+        if step % 16 == 15:
+            done = materialise(done, "placed")  # a plan doesn't grow with the steps
+    return done.select("label", "struct_id", "group")
 
-    def halve(chunk: pa.Table) -> pa.Table:
-        key, ids, e = chunk["group_key"][0].as_py(), chunk["struct_id"].to_numpy(), chunk["e"].to_numpy()
-        x = vectors_of(chunk["xyz"].combine_chunks(), key)
-        anchor, distance = canopies(x, e, ids, reach / 2, window / 2)
-        return pa.table([pa.array(ids), chunk["label"], pa.array(ids[anchor]), pa.array(np.exp(-(distance**2) / (2.0 * reach * reach)))], schema=_RANKED_ARROW)
 
-    divided = loose.select("label", "chunk", "group_key", "struct_id", "e", "xyz").groupBy("label", "chunk").applyInArrow(halve, _RANKED)
-    return whole.unionByName(divided)
+def _rank_large(rows: DataFrame, reach: float, window: float) -> DataFrame:
+    """The same as ``_check_cluster`` for clusters of more than BLOCK records, by block jobs."""
+    sums = _compared(rows, reach, window)
+    state = sums.groupBy("label").agg(F.sum("apart").alias("pairs_apart"), F.min("struct_id").alias("cluster_id"), F.count(F.lit(1)).alias("n"))
+    sums = materialise(sums.join(state, "label").withColumn("affinity", F.col("near") / F.col("n")), "large")
+    whole = sums.filter("pairs_apart = 0").select("struct_id", "label", "cluster_id", "affinity")
+    loose = sums.filter("pairs_apart > 0")
+    if not loose.limit(1).count():
+        return whole
+    # a record apart from none fits into every group, so into the first; only the others need a place
+    placed = _divided(rows.join(loose.filter("apart > 0").select("label", "struct_id", "affinity"), ["label", "struct_id"]), reach, window)
+    placed = materialise(placed.unionByName(loose.filter("apart = 0").select("label", "struct_id", F.lit(0).cast("bigint").alias("group"))), "divided")
+    groups = placed.groupBy("label", "group").agg(F.min("struct_id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
+    named = placed.join(groups, ["label", "group"]).select("struct_id", F.col("cluster_id").alias("label"), "size")
+    again = materialise(rows.select("struct_id", "group_key", "e", "xyz").join(named, "struct_id"), "divided")
+    single = again.filter("size = 1").select("struct_id", "label", F.col("label").alias("cluster_id"), F.lit(1.0).alias("affinity"))
+    some = again.filter(f"size between 2 and {BLOCK}")
+    some = _rank_small(some, some.count(), reach, window)
+    large = again.filter(f"size > {BLOCK}")
+    large = _compared(large, reach, window).join(large.select("struct_id", "size"), "struct_id").select("struct_id", "label", F.col("label").alias("cluster_id"), (F.col("near") / F.col("size")).alias("affinity"))
+    return whole.unionByName(single).unionByName(some).unionByName(large)
 
 
 def clusters(vecs: DataFrame, cells: Cells, reach: float = 0.4, window: float = 1.0) -> DataFrame:
@@ -288,10 +386,8 @@ def clusters(vecs: DataFrame, cells: Cells, reach: float = 0.4, window: float =
     named = materialise(labels.join(sizes, "label"), "named")
     rows = members.select("group_key", "struct_id", "e", "xyz", "anchor").join(named, "anchor").drop("anchor")
     single = rows.filter("size = 1").select("struct_id", "label", F.col("struct_id").alias("cluster_id"), F.lit(1.0).alias("affinity"))
-    some = rows.filter(f"size between 2 and {BLOCK}")
     total = sizes.filter(f"size between 2 and {BLOCK}").agg(F.sum("size")).first()[0] or 0
-    some = some.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(max(1, int(total) // BLOCK))))
-    ranked = some.select("bucket", "label", "group_key", "struct_id", "e", "xyz").groupBy("bucket").applyInArrow(_ranked(reach, window), _RANKED)
+    ranked = _rank_small(rows.filter(f"size between 2 and {BLOCK}"), int(total), reach, window)
     if sizes.filter(f"size > {BLOCK}").limit(1).count():
         ranked = ranked.unionByName(_rank_large(rows.filter(f"size > {BLOCK}"), reach, window))
     return materialise(single.unionByName(ranked).select("struct_id", "cluster_id", "affinity"), "clusters")

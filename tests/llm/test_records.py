@@ -122,6 +122,41 @@ def test_chain_is_divided():
     assert len(set(cluster.tolist())) == 2
 
 
+def loose_label(spark, d, e, ids):
+    """Records of two hydrogens ``d`` apart, all under one label, as ``_rank_large`` takes them."""
+    xyz = np.zeros((len(ids), 6))
+    xyz[:, 3] = d
+    rows = [("1,1", int(i), float(x), bytearray(c.tobytes()), 7, len(ids)) for i, x, c in zip(ids, e, xyz, strict=True)]
+    return spark.createDataFrame(rows, "group_key string, struct_id bigint, e double, xyz binary, label bigint, size bigint")
+
+
+def large_as_small(spark, d, e, ids):
+    want, affinity = grouping._check_cluster(np.asarray(d)[:, None], np.asarray(e), np.asarray(ids), 0.4, 1.0)
+    got = {r.struct_id: r for r in grouping._rank_large(loose_label(spark, d, e, ids), 0.4, 1.0).collect()}
+    assert {i: r.cluster_id for i, r in got.items()} == dict(zip(ids.tolist(), want.tolist(), strict=True))
+    assert np.allclose([got[i].affinity for i in ids.tolist()], affinity)
+    return want
+
+
+@pytest.mark.parametrize("stray", [1.43, 1.9])  # apart from some of the cluster, and from all
+def test_stray_record_of_a_large_cluster(spark, monkeypatch, stray):
+    monkeypatch.setattr(grouping, "BLOCK", 8)
+    monkeypatch.setattr(grouping, "CHUNK", 4)
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(np.arange(10, 51))
+    d = np.append(1.0 + rng.uniform(0, 0.06, 40), stray)
+    cluster = large_as_small(spark, d, np.zeros(41), ids)
+    assert len(set(cluster[:40].tolist())) == 1 and cluster[40] == ids[40]
+
+
+def test_large_cluster_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(np.arange(100, 160))
+    cluster = large_as_small(spark, rng.uniform(1, 2.6, 60).round(3), rng.uniform(0, 2, 60).round(3), ids)
+    assert len(set(cluster.tolist())) > 5
+
+
 def test_subset(spark, tables):
     rows = cloud(5, 3) + cloud(1, 60, start=1000)
     d = tables(
