@@ -6,9 +6,10 @@
    the driver, where dynamic programming sets the BUCKETS boundaries that leave the least
    unused space if a container takes floor(capacity / upper boundary) items of its bucket.
 3. Items are dealt into chunks by a hash, so each chunk is a random share of all
-   buckets and of bounded size. In a chunk, bucket by bucket from the longest, batches
-   form up to the token budget; the rest of a container is topped up with the longest
-   items of shorter buckets that fit.
+   buckets and of bounded size. In a chunk, bucket by bucket from the longest, a batch
+   takes the bucket's items as they come (doc_id, piece) up to the token budget; only
+   the rest of its container is topped up with the longest items of shorter buckets
+   that fit.
 
 Defined results: null and empty texts have no tokens and still get a place (in some
 container of their chunk, or one of their own if nothing else is there); repeated
@@ -63,34 +64,29 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, capacity: int, b
 def fill(sizes: np.ndarray, capacity: int, boundaries: list[int]) -> np.ndarray:
     """Container number of each item of a chunk: token-budget batches bucket by bucket, topped up from shorter ones."""
     place = np.full(len(sizes), -1)
+    bucket = np.searchsorted(boundaries, sizes)
     free: dict[int, list[int]] = {}
-    for i in np.argsort(sizes, kind="stable")[::-1]:
-        free.setdefault(int(sizes[i]), []).append(int(i))
+    for i in range(len(sizes) - 1, -1, -1):
+        free.setdefault(int(sizes[i]), []).append(i)
     lengths = sorted(free)
-    floor_of = [0, *boundaries]
     number = 0
-
-    def take(at: int) -> int:
-        length = lengths[at]
-        place[free[length].pop()] = number
-        if not free[length]:
-            del free[length]
-            lengths.pop(at)
-        return length
-
-    while lengths:
-        longest = lengths[-1]
-        gap = capacity - take(len(lengths) - 1)
-        low = max((b for b in floor_of if b < longest), default=-1)  # the bucket's lower boundary
-        batch = True
-        while lengths:
-            at = bisect_right(lengths, gap) - 1
-            if at < 0:
-                break
-            if batch and lengths[at] <= low:
-                batch = False  # the bucket has nothing that fits: top up from the shorter ones
-            gap -= take(at)
-        number += 1
+    for b in range(len(boundaries), -1, -1):
+        own = np.flatnonzero((bucket == b) & (place < 0)).tolist()
+        low = boundaries[b - 1] if b else -1
+        del lengths[bisect_right(lengths, low) :]  # what is left are shorter buckets' items
+        at = 0
+        while at < len(own):
+            gap = capacity
+            while at < len(own) and sizes[own[at]] <= gap:
+                place[own[at]] = number
+                gap -= int(sizes[own[at]])
+                at += 1
+            while (k := bisect_right(lengths, gap) - 1) >= 0:
+                place[free[lengths[k]].pop()] = number
+                gap -= lengths[k]
+                if not free[lengths[k]]:
+                    lengths.pop(k)
+            number += 1
     return place
 
 

@@ -45,6 +45,21 @@ def test_fill_keeps_the_capacity():
     assert (place >= 0).all() and held.max() <= 100 and len(held) <= np.ceil(sizes.sum() / 100) * 1.02 + 1
 
 
+def test_boundaries_make_the_batches():
+    sizes, capacity = np.random.default_rng(2).integers(1, 60, 500), 100
+    ends = packing.optimal_boundaries(*np.unique(sizes, return_counts=True), capacity, 4)
+    place, whole = packing.fill(sizes, capacity, ends), packing.fill(sizes, capacity, [59])
+    groups = lambda at: {tuple(np.flatnonzero(at == c)) for c in np.unique(at)}
+    assert len(ends) == 4 and groups(place) != groups(whole)
+    bucket = np.searchsorted(ends, sizes)
+    lead = np.array([bucket[place == c].max() for c in range(place.max() + 1)])  # the bucket that a container's batch is of
+    for b in np.unique(lead):
+        mine = np.flatnonzero(lead == b)
+        batches = [np.flatnonzero((place == c) & (bucket == b)) for c in mine]
+        assert all(len(x) >= capacity // ends[b] for x in batches[:-1])
+        assert (np.diff(np.concatenate(batches)) > 0).all()  # the items as they come, none passed over
+
+
 def test_packing(spark, tables, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK_ITEMS", 50)
     words = [" ".join(["word"] * int(n)) for n in RNG.integers(1, 60, 300)]
