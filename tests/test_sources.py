@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from conftest import dataset, structure
 from pyspark.sql import functions as F
 
+from moltide.queries import io
 from moltide.sources import formats
 
 
@@ -47,3 +49,19 @@ def test_block_trials_and_box(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), header=True).first().sigma == "1.0"
     text = formats.box_input((10.0, 10.0, 12.0), [("w.xyz", 33)], "out.xyz", shift=1.0)
     assert "number 33" in text and "inside box 1 1 1 9 9 11" in text
+
+
+def test_content_identity_reads_the_numbers(spark, tables):
+    rows = [structure(1), structure(2, e=None), structure(3, f=None)]
+
+    def told(changed):
+        d = tables(datasets=[dataset(1)], structures=changed)
+        return io.content_identity(spark, d).first().content_md5
+
+    same = told(rows)
+    assert told(rows[::-1] + rows[:1]) == same  # in any order, repeated deliveries once
+    r, f = list(rows[0][4]), list(rows[0][6])
+    changed = [
+        structure(1, r=[*r[:3], r[3] + 1e-12, *r[4:]]), structure(1, e=-47900.000001), structure(1, e=None), structure(1, f=[*f[:8], 0.2]), structure(1, f=[*f[:8], None]), structure(1, f=None),
+    ]
+    assert len({same, *(told([x, *rows[1:]]) for x in changed)}) == 7
