@@ -8,12 +8,13 @@
    gradient on 1/2 sum_s (tokens_s - target_s)^2 / (tokens there are of s), where tokens_s is the sum of
    rate x size x posterior; each step is one aggregate over all documents, and the
    steps so far (a few numbers each) are replayed inside the next aggregate.
-4. *Copies.* floor(rate + a document's own uniform number + its source's shift); the
-   shifts are set so that whole copies meet the targets, again from aggregates.
+4. *Copies.* floor(rate + a document's own uniform number); for documents with a source
+   also plus its shift. The shifts are set so that the whole copies, those of documents
+   without a source counted by their posterior, meet the targets, again from aggregates.
 
 The size of a mix is SLACK times the largest that the caps allow. Documents of other
-sources get no copies, nor do documents without a source whose posterior leaves it open
-(under MEMBERSHIP); the others count as their likeliest source.
+sources get no copies. One without a source is drawn at most as often as its posterior's
+mean of the caps, and its likeliest source's cap, allow.
 
 Defined results: null texts have no tokens and no copies; a source without documents is
 reported with a share of 0; targets that are null or not positive are left out;
@@ -35,8 +36,6 @@ from moltide.sources.tables import materialise
 
 BINS = 1 << 14
 STEPS = 12
-#: A document is drawn if one source holds at least so much of its posterior; else no share could count it.
-MEMBERSHIP = 0.9
 #: Rounds of setting shifts: over all documents, then over ever shorter ones.
 FILLS = 3
 SLACK = 0.95
@@ -118,13 +117,13 @@ def _fit_rates(docs: DataFrame, where: np.ndarray, share: np.ndarray, cap: np.nd
     """Start rates per source and the gradient steps of one mix; ``where``: the mix's sources among the posterior's."""
     k = len(where)
     p = [F.col("p")[int(i)] for i in where]
-    docs = docs.filter(F.greatest(*p, F.lit(0.0)) >= MEMBERSHIP) if k > 1 else docs
     sums = [F.sum(F.col("n_tokens") * p[a] * p[b]) for a in range(k) for b in range(a, k)] + [F.sum(F.col("n_tokens") * x) for x in p]
+    sums += [F.sum(F.when(F.col("source").isNotNull(), F.col("n_tokens") * x)) for x in p]
     row = [float(x or 0.0) for x in docs.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    gram, have = np.zeros((k, k)), np.array(row[-k:])
+    gram, have, labelled = np.zeros((k, k)), np.array(row[-2 * k : -k]), np.array(row[-k:])
     for x, (a, b) in zip(row, [(a, b) for a in range(k) for b in range(a, k)], strict=False):
         gram[a, b] = gram[b, a] = x
-    held = have > 0
+    held = labelled > 0  # what a classifier gives to a source without documents is no ground to draw for it
     if not held.any():
         return np.zeros(k), np.zeros((0, k)), 0.0
     total = SLACK * float(np.min(cap[held] * have[held] / share[held]))
@@ -160,8 +159,7 @@ def _posterior(batch: pa.RecordBatch) -> np.ndarray:
 
 def replay(post: np.ndarray, start: np.ndarray, steps: np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Rates after the projected steps, from each document's posterior."""
-    most = post @ cap
-    most = np.where(post.max(1, initial=0.0) >= MEMBERSHIP, most, 0.0)
+    most = np.minimum(post @ cap, cap[post.argmax(1)])
     rate = np.minimum(post @ start, most)
     for g in steps:
         rate = np.clip(rate - post @ g, 0.0, most)
@@ -169,11 +167,11 @@ def replay(post: np.ndarray, start: np.ndarray, steps: np.ndarray, cap: np.ndarr
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_id, doc_id, source (null if unknown), drawn_as (the source whose cap and shift it has), n_tokens, rate, copies (0 left out)."""
+    """mix_id, doc_id, source (null if unknown), drawn_as (its likeliest source), n_tokens, rate, membership (its share of each of the mix's sources, in order of name), copies (0 left out)."""
     asked = targets.filter("target_share > 0").select("mix_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(MAX_TARGETS + 1).collect()
     if len(asked) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    schema = "mix_id int, doc_id bigint, source string, drawn_as string, n_tokens bigint, rate double, cap int"
+    schema = "mix_id int, doc_id bigint, source string, drawn_as string, n_tokens bigint, rate double, membership array<double>, cap int"
     spark = documents.sparkSession
     if not asked:
         return spark.createDataFrame([], schema.replace("cap int", "copies int"))
@@ -196,8 +194,8 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
                 r = replay(post, start, steps, cap)
                 top = post.argmax(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([mix_id] * batch.num_rows, pa.int32()), batch.column("doc_id"), batch.column("source"), pa.array([names[i] for i in top]), batch.column("n_tokens"), pa.array(r), pa.array(cap[top].astype(np.int32))],
-                    ["mix_id", "doc_id", "source", "drawn_as", "n_tokens", "rate", "cap"],
+                    [pa.array([mix_id] * batch.num_rows, pa.int32()), batch.column("doc_id"), batch.column("source"), pa.array([names[i] for i in top]), batch.column("n_tokens"), pa.array(r), pa.array(list(post), pa.list_(pa.float64())), pa.array(cap[top].astype(np.int32))],
+                    ["mix_id", "doc_id", "source", "drawn_as", "n_tokens", "rate", "membership", "cap"],
                 )
 
         parts.append((mix_id, names, share * total, materialise(inside.select("doc_id", "source", "n_tokens", "p").mapInArrow(rate, schema), "rates")))
@@ -211,7 +209,13 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     want = {(m, s): float(t) for m, names, target, _ in parts for s, t in zip(names, target, strict=True)}
     by_source = lambda values: F.create_map(*[F.lit(x) for (m, s), v in values.items() for x in (f"{m}|{s}", v)])[F.concat_ws("|", "mix_id", "drawn_as")]
     copies_at = lambda shift: F.least(F.greatest(F.floor(F.col("rate") + uniform + shift), F.lit(0)), F.col("cap"))
-    known = rates.filter("rate > 0 and n_tokens > 0")
+    known = rates.filter("rate > 0 and n_tokens > 0 and source is not null")
+    # documents without a source are rounded by their own number alone; what they hold of each source is no longer wanted from the others
+    soft = rates.filter("rate > 0 and n_tokens > 0 and source is null").withColumn("copies", copies_at(F.lit(0.0)))
+    names_of = {m: names for m, names, _, _ in parts}
+    for r in soft.select("mix_id", F.posexplode("membership").alias("s", "p"), (F.col("copies") * F.col("n_tokens")).alias("t")).groupBy("mix_id", "s").agg(F.sum(F.col("t") * F.col("p")).alias("t")).collect():
+        key = (r.mix_id, names_of[r.mix_id][r.s])
+        want[key] = max(0.0, want[key] - r.t)
     grid, shift, limit = 40, F.lit(0.0), dict.fromkeys(want, float("inf"))
     for fill in range(FILLS):
         low, width = dict.fromkeys(want, 0.0 if fill else -1.0), 2.0
@@ -229,17 +233,21 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
             width /= grid
         shift = shift + F.when(free, by_source(low)).otherwise(0.0)
         limit = {key: max(0.0, (want[key] - held.get(key, want[key])) / 10.0) for key in want}
-    drawn = rates.withColumn("copies", F.when((F.col("n_tokens") > 0) & (F.col("rate") > 0), copies_at(shift)).otherwise(0).cast("int"))
+    drawn = rates.withColumn("copies", F.when((F.col("n_tokens") > 0) & (F.col("rate") > 0), copies_at(F.when(F.col("source").isNull(), 0.0).otherwise(shift))).otherwise(0).cast("int"))
     return drawn.filter("copies > 0").drop("cap")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: target and reached share of the tokens, documents, tokens, and the most copies of one document."""
+    """Per mix and source: target share of the tokens, the share reached by likeliest source and the one expected by membership, documents, tokens, and the most copies of one document."""
     mixed = mixed.withColumn("t", F.col("copies") * F.col("n_tokens"))
     whole = mixed.groupBy("mix_id").agg(F.sum("t").alias("all_tokens"))
     held = mixed.withColumn("source", F.col("drawn_as")).groupBy("mix_id", "source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     wanted = targets.select("mix_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null")
-    rows = wanted.join(held, ["mix_id", "source"], "full").join(whole, "mix_id", "left")
+    names = wanted.filter("target_share > 0").dropna().groupBy("mix_id").agg(F.array_sort(F.collect_set("source")).alias("names"))
+    parts = mixed.join(F.broadcast(names), "mix_id").select("mix_id", "t", F.explode(F.arrays_zip("names", "membership")).alias("m"))
+    parts = parts.groupBy("mix_id", F.col("m.names").alias("source")).agg(F.sum(F.col("t") * F.col("m.membership")).alias("expected"))
+    all_parts = parts.groupBy("mix_id").agg(F.sum("expected").alias("all_expected"))
+    rows = wanted.join(held, ["mix_id", "source"], "full").join(whole, "mix_id", "left").join(parts, ["mix_id", "source"], "left").join(all_parts, "mix_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     reached = F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0))
-    return rows.select("mix_id", "source", "target_share", "max_repeats", reached.alias("reached_share"), zero("tokens"), zero("documents"), zero("most_copies"))
+    return rows.select("mix_id", "source", "target_share", "max_repeats", reached.alias("reached_share"), F.coalesce(F.round(F.col("expected") / F.col("all_expected"), 6), F.lit(0.0)).alias("expected_share"), zero("tokens"), zero("documents"), zero("most_copies"))

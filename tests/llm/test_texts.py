@@ -98,6 +98,18 @@ def test_mixing(spark, tables):
     assert set(drawn[drawn.doc_id == 5000].drawn_as) <= {"beta"}
 
 
+def test_open_documents_are_mixed_by_membership(spark, tables):
+    words = {"alpha": "quark lepton boson", "beta": "violin cello viola"}
+    docs = [doc(i, words["alpha" if i % 3 else "beta"] + " tree", "alpha" if i % 3 else "beta") for i in range(300)]
+    docs += [doc(1000 + i, "quark violin tree", None) for i in range(150)]
+    d = tables(extra=True, documents=docs, mix_targets=[(1, "alpha", 0.5, 1), (1, "beta", 0.5, 2)])
+    drawn = queries.p7_mixture(spark, d).toPandas()
+    open_ones = drawn[drawn.source.isnull()]
+    assert len(open_ones) > 20 and all(0.05 < m[0] < 0.95 for m in open_ones.membership)
+    rows = queries.p7_shares(spark, d).collect()
+    assert len(rows) == 2 and all(abs(r.expected_share - 0.5) < 0.01 for r in rows)
+
+
 def test_posteriors_of_held_out_documents(spark, tables):
     docs = [doc(i, "quark lepton boson mass" if i % 2 else "violin cello viola bow", "a" if i % 2 else "b") for i in range(100)]
     docs += [doc(200, "a lepton and its mass", None), doc(201, "bow of a cello", None)]
