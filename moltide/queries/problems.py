@@ -41,7 +41,7 @@ def p4_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_common_units, p3_dataset_units, p4_found, p4_by_month)}
 
-_CLEAN = "nullif(nullif(trim(regexp_replace(lower(trim({0})), '^md5:', '')), ''), 'n/a')"
+_CLEAN = r"nullif(nullif(regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^md5:', ''), '^\s+|\s+$', '', 'g'), ''), 'n/a')"
 _P4 = f"""
 with owners as (
   select distinct 'datasets' as ref_table, 'r_prov_ids' as ref_field, 'rsets' as parent, dset_id as owner_id, created_at, unnest(map_values(r_prov_ids)) as v from datasets
