@@ -40,7 +40,7 @@ def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFra
 BROADCAST_ROWS = 200_000
 
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_dimension(facts: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join a materialised dimension table, broadcast only after its row count was checked."""
     small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return facts.join(F.broadcast(dimension) if small else dimension.hint("merge"), on, how)
