@@ -32,6 +32,9 @@ ENERGY_UNITS = {  # name -> kcal/mol
 }
 LENGTH_UNITS = {"angstrom": 1.0, "bohr": ANGSTROM_PER_BOHR, "nm": 10.0, "pm": 0.01}  # name -> angstrom
 
+#: Factors of a cut; the fields' dimensions have an energy, a mole and a length, so a longer product names none of them. Texts may have any length.
+MOST_FACTORS = 5
+
 #: Dimension that each field can have, as (energy, length) exponents.
 FIELD_DIMENSION = {"e": (1, 0), "r": (0, 1), "f": (1, -1)}
 
@@ -111,12 +114,11 @@ class _Parse:
     def __init__(self, text: str):
         self.text, self.folded, self.memo = text, _fold(text), {}
 
-    def factors(self, at: int, divided: bool) -> dict[tuple[int, tuple], float]:
-        """(end, factors) -> cost of all cuts that begin with a factor at ``at``; only the cheapest for each is kept."""
-        key = (at, divided)
+    def factors(self, at: int, divided: bool, most: int = MOST_FACTORS) -> dict[tuple[int, tuple], float]:
+        """(end, factors) -> cost of all cuts of at most ``most`` factors that begin at ``at``; only the cheapest for each is kept."""
+        key = (at, divided, most)
         if key in self.memo:
             return self.memo[key]
-        self.memo[key] = {}  # a separator of no width can't recurse
         heads = [(at, 0.0, 0)] + [(end, 0.25 + case, power) for end, case, (power,) in _walk(_PREFIX_TRIE, self.text, self.folded, at)]
         found: dict[tuple[int, tuple], float] = {}
 
@@ -134,10 +136,9 @@ class _Parse:
                     sign = -exponent if divided else exponent
                     factor = (root, sign, power)
                     keep(tail, (factor,), cost + tail_cost)
-                    for nxt, _, (slash,) in _walk(_SEPARATOR_TRIE, self.text, self.folded, tail):
-                        for (stop, rest), more in self.factors(nxt, slash).items():
-                            if len(rest) < 4:
-                                keep(stop, (factor, *rest), cost + tail_cost + more + 0.05)
+                    for nxt, _, (slash,) in _walk(_SEPARATOR_TRIE, self.text, self.folded, tail) if most > 1 else ():
+                        for (stop, rest), more in self.factors(nxt, slash, most - 1).items():
+                            keep(stop, (factor, *rest), cost + tail_cost + more + 0.05)
         self.memo[key] = found
         return found
 
@@ -200,7 +201,7 @@ def read_label(text: str | None, field: str) -> str | None:
     text = re.sub(r" +", " ", _clean(text)).strip()
     best: tuple[float, str] | None = None
     for trial in dict.fromkeys((text, text.strip(" .;:,"), text.strip(" .;:,()[]"))):
-        if not trial or len(trial) > 80 or best:
+        if not trial or best:
             continue
         for (end, cut), cost in _Parse(trial).factors(0, False).items():
             if end == len(trial) and (m := _meaning(cut)) and m[0] == FIELD_DIMENSION[field] and (best is None or cost + m[2] < best[0]):

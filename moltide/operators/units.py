@@ -1,15 +1,15 @@
 """Quantities recorded in different units, converted to kcal/mol, angstrom and kcal/mol/angstrom.
 
-Evidence for a data set's unit, strongest first:
+Evidence for a data set's unit, in this order:
 
-1. the numbers: covalent bonds are about 1 angstrom long, total energies follow
-   from the atomic numbers (semiclassical atom: -0.7687 Z^7/3 + Z^2/2 - 0.2699 Z^5/3
-   hartree), n-body energies and forces have the sizes that the data sets with a
-   stated unit show;
-2. the label cell (``e_unit``, ``r_unit``), read by the unit grammar;
-3. the prose of ``notes``, read by the same grammar.
+1. the label cell (``e_unit``, ``r_unit``), read by the unit grammar;
+2. the prose of ``notes``, read by the same grammar;
+3. the numbers of all its records and atoms: covalent bonds are about 1 angstrom long, total
+   energies follow from the atomic numbers (semiclassical atom: -0.7687 Z^7/3 + Z^2/2 -
+   0.2699 Z^5/3 hartree), n-body energies and forces have the sizes that the data sets
+   with a stated unit show.
 
-A stated unit holds unless the numbers rule it out; then the numbers decide.
+A stated unit holds unless the numbers rule it out; then, and where none is stated, the numbers decide.
 ``row_note`` may give a unit for E of its row only. Forces follow the data set's
 real units unless ``notes`` names theirs.
 
@@ -21,9 +21,11 @@ columns pass through. Empty tables give empty results.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,8 @@ from moltide.sources.tables import first_delivery, join_dimension, materialise
 COMMON = {"e": "kcal/mol", "r": "angstrom", "f": "kcal/mol/angstrom"}
 #: Log10 of how far a total energy may be from the semiclassical estimate.
 TOTAL_ENERGY_TOLERANCE = 0.1
+#: Log10 of how far the shortest distance may be from a bond's length (1 angstrom with hydrogen, else 1.45) before a stated unit is ruled out; bohr and angstrom are 0.276 apart.
+BOND_TOLERANCE = 0.2
 #: Histogram of log10 sizes: bins of 0.05 from -20 to 20.
 _BIN, _LOW, _BINS = 0.05, -20.0, 800
 #: A stated unit is ruled out if the best one is so much likelier (natural log).
@@ -76,15 +80,52 @@ def unit_factor(unit: Column, sizes: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[unit]
 
 
-def _nearest_bond(r: Column) -> Column:
-    """Distance of atom 0 to its nearest atom, in the stored unit; null or NaN numbers are passed over."""
-    n = F.floor(F.size(r) / 3).cast("int")
-
-    def to(j: Column) -> Column:
-        d = [F.get(r, j * 3 + k) - F.get(r, F.lit(k)) for k in range(3)]
-        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-
-    return F.when(n >= 2, F.array_min(F.transform(F.sequence(F.lit(1), n - 1), to)))
+def shortest_distances(r: np.ndarray) -> np.ndarray:
+    """(n, atoms, 3) -> the least distance of two atoms of each record, in the stored unit; missing coordinates are passed over, NaN if nothing is left."""
+    best = np.full(len(r), np.nan)
+    for i in range(r.shape[1] - 1):  # rows x atoms numbers at a time, however large the records are
+        gap = r[:, i + 1 :] - r[:, i : i + 1]
+        d2 = np.einsum("njc,njc->nj", gap, gap)
+        best = np.fmin(best, np.fmin.reduce(d2, axis=1))
+    return np.sqrt(best)
+
+
+def mean_forces(f: np.ndarray) -> np.ndarray:
+    """(n, atoms, 3) -> mean length of the forces on the atoms whose force is known."""
+    size = np.sqrt(np.einsum("njc,njc->nj", f, f))
+    known = np.isfinite(size)
+    return np.where(known, size, 0.0).sum(1) / np.where(known.any(1), known.sum(1), np.nan)
+
+
+def _by_length(column: pa.Array, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of`` applied to a list column of packed triples, rows of one length at a time; NaN where there are fewer than ``3`` numbers or none at all."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.full(len(column), np.nan)
+    for n in np.unique(counts[counts >= 3]):
+        at = np.flatnonzero(counts == n)
+        for start in range(0, len(at), 4096):
+            rows = at[start : start + 4096]
+            x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            out[rows] = of(x.reshape(len(rows), n)[:, : n - n % 3].reshape(len(rows), -1, 3))
+    return out
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 of a record's shortest distance, |E| (rows without their own unit) and mean force; null where there is none."""
+    own: dict[str, bool] = {}
+    for batch in batches:
+        r, f, notes = (batch.column(batch.schema.get_field_index(c)) for c in ("r", "f", "row_note"))
+        e = np.abs(batch.column(batch.schema.get_field_index("e")).to_numpy(zero_copy_only=False).astype(np.float64, copy=False))
+        for note in notes.unique().to_pylist():
+            if note is not None and note not in own:
+                own[note] = "e" in scan_text(note)
+        if any(own.values()):
+            e = np.where([own.get(x, False) for x in notes.to_pylist()], np.nan, e)
+        logs = []
+        for x in (_by_length(r, shortest_distances), e, _by_length(f, mean_forces)):
+            usable = (x > 0) & (x < 1e300)
+            logs.append(pa.array(np.log10(np.where(usable, x, 1.0)), mask=~usable))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("dset_id")), *logs], ["dset_id", "_r", "_e", "_f"])
 
 
 def _log10(x: Column) -> Column:
@@ -96,11 +137,8 @@ def _median(x: Column) -> Column:
 
 
 def size_of_numbers(structures: DataFrame) -> DataFrame:
-    """Per data set: medians of the log10 of bond length, |E| (rows without their own unit) and the force on atom 0."""
-    f = F.col("f")
-    force = F.sqrt(F.get(f, F.lit(0)) ** 2 + F.get(f, F.lit(1)) ** 2 + F.get(f, F.lit(2)) ** 2)
-    rows = structures.select("dset_id", "e", "row_note", _log10(_nearest_bond(F.col("r"))).alias("_r"), _log10(force).alias("_f"))
-    rows = rows.withColumn("_e", F.when(row_energy_unit(F.col("row_note")).isNull(), _log10(F.abs("e"))))
+    """Per data set: medians over its records of the log10 of the shortest distance of all atoms, |E| (rows without their own unit) and the mean force of all atoms."""
+    rows = structures.select("dset_id", "e", "r", "f", "row_note").mapInArrow(_sizes, "dset_id bigint, _r double, _e double, _f double")
     return rows.groupBy("dset_id").agg(_median(F.col("_r")).alias("log_r"), _median(F.col("_e")).alias("log_e"), _median(F.col("_f")).alias("log_f"))
 
 
@@ -111,13 +149,17 @@ def _expected_total(z: Column) -> Column:
     return _log10(hartree * ENERGY_UNITS["hartree"])
 
 
+def _bin(size: Column) -> Column:
+    """Bin of a log10 size; what lies outside the histogram counts in its first or last bin."""
+    return F.least(F.greatest(F.floor((size - _LOW) / _BIN).cast("int"), F.lit(0)), F.lit(_BINS - 1))
+
+
 def _likelihood(sizes: DataFrame, column: str) -> Column | None:
     """A function of log10 sizes: log density of the sizes seen in sets with a stated unit, relative to its peak.
 
     The histogram has at most _BINS rows however many sets there are; only it comes to the driver.
     """
-    bins = F.floor((F.col(column) - _LOW) / _BIN).cast("int")
-    seen = sizes.filter(F.col(column).isNotNull()).groupBy(bins.alias("b")).count().filter(f"b between 0 and {_BINS - 1}").collect()
+    seen = sizes.filter(F.col(column).isNotNull()).groupBy(_bin(F.col(column)).alias("b")).count().collect()
     if not seen:
         return None
     h = np.zeros(_BINS)
@@ -131,8 +173,7 @@ def _likelihood(sizes: DataFrame, column: str) -> Column | None:
 def _look_up(density: Column | None, size: Column) -> Column:
     if density is None:
         return F.lit(0.0)
-    at = F.least(F.greatest(F.floor((size - _LOW) / _BIN).cast("int"), F.lit(0)), F.lit(_BINS - 1))
-    return F.coalesce(F.get(density, at), F.lit(0.0))
+    return F.coalesce(F.get(density, _bin(size)), F.lit(0.0))
 
 
 def dataset_units(structures: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -146,11 +187,14 @@ def dataset_units(structures: DataFrame, datasets: DataFrame) -> DataFrame:
     sets = sets.join(size_of_numbers(structures), "dset_id", "left")
     log = math.log10
 
-    # lengths: the bond decides among units that differ by at least 1.9
+    # lengths: what is stated holds if the shortest distance can be a bond then; else the unit that makes it most like one
     bond = F.when(F.array_contains("z", 1), log(1.0)).otherwise(log(1.45))
-    by_bond = F.array_min(F.array(*[F.struct(F.abs(F.col("log_r") + log(size) - bond).alias("off"), F.lit(u).alias("unit")) for u, size in LENGTH_UNITS.items()]))
+    off = lambda size: F.abs(F.col("log_r") + log(size) - bond)
+    by_bond = F.array_min(F.array(*[F.struct(off(size).alias("off"), F.lit(u).alias("unit")) for u, size in LENGTH_UNITS.items()]))
     stated_r = F.coalesce("_lr", "_prose.r")
-    r_unit = F.when(F.col("log_r").isNull(), stated_r).otherwise(by_bond["unit"])
+    off_stated = F.abs(F.col("log_r") + F.log10(unit_factor(stated_r, LENGTH_UNITS)) - bond)
+    can_be = F.col("log_r").isNull() | (off_stated <= BOND_TOLERANCE)
+    r_unit = F.when(stated_r.isNotNull() & can_be, stated_r).otherwise(F.when(F.col("log_r").isNotNull(), by_bond["unit"]))
     sets = sets.withColumn("r_unit_real", F.coalesce(r_unit, F.lit("angstrom"))).withColumn("_stated", F.coalesce("_le", "_prose.e"))
     sets = sets.withColumns({"_expected": _expected_total(F.col("z")), "_log_a": F.log10(unit_factor(F.col("r_unit_real"), LENGTH_UNITS))})
     sets = materialise(sets, "sets")

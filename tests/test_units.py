@@ -42,3 +42,17 @@ def test_labels_notes_rows_and_numbers(spark, tables):
 def test_empty_tables(spark, tables):
     assert found(spark, tables()) == set()
     assert found(spark, tables(datasets=[dataset(1)])) == set()
+
+
+def test_a_label_holds_where_the_numbers_allow_it(spark, tables):
+    """A shortest distance of 1.3 may be angstrom or bohr: the label decides, the numbers only where there is none; all atoms count, not the first."""
+    far = [0.0, 0.0, 0.0, 1.35, 0.0, 0.0, 0.0, 1.35, 0.0]
+    ring = [9.0, 9.0, 9.0, 0.0, 0.0, 0.0, 0.96, 0.0, 0.0]  # atom 0 is far from both others
+    d = tables(
+        datasets=[dataset(1, r_unit="Angstrom"), dataset(2, r_unit="a0"), dataset(3, r_unit=None), dataset(4, r_unit=None), dataset(5, r_unit="  ".join(["not a unit"] * 40))],
+        structures=[structure(i, dset_id=i, r=far, e=None, f=None) for i in (1, 2, 3)] + [structure(i, dset_id=i, r=ring, e=None, f=None) for i in (4, 5)],
+    )
+    assert found(spark, d) == {(2, "r", "bohr")}
+    far2 = [x * 1.15 for x in far]  # 1.55: nearer to a bond as bohr
+    d = tables(datasets=[dataset(1, r_unit="Angstrom"), dataset(2, r_unit="bohr"), dataset(3, r_unit=None)], structures=[structure(i, dset_id=i, r=far2, e=None, f=None) for i in (1, 2, 3)])
+    assert found(spark, d) == {(2, "r", "bohr"), (3, "r", "bohr")}
