@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from moltide.llm import harm, mixing, packing, queries, tokens
+from moltide.sources.tables import materialise
 
 RNG = np.random.default_rng(1)
 
@@ -98,6 +99,21 @@ def test_mixing(spark, tables):
     assert set(drawn[drawn.doc_id == 5000].drawn_as) <= {"beta"}
 
 
+def test_the_gradient_sets_the_rates(spark, tables, monkeypatch):
+    """Steps are taken, they bring the expected tokens to the targets, and without them the copies are others."""
+    docs = [doc(i, "quark lepton " * (1 + i % 5), "alpha") for i in range(200)] + [doc(300 + i, "violin cello " * (1 + i % 3), "beta") for i in range(60)] + [doc(500 + i, "quark violin", None) for i in range(30)]
+    d = tables(documents=docs, mix_targets=[(1, "alpha", 0.3, 1), (1, "beta", 0.7, 5)])
+    p = materialise(mixing.posteriors(spark.read.parquet(f"{d}/documents.parquet"), ["alpha", "beta"]), "p")
+    m = mixing.Mix(1, ["alpha", "beta"], np.array([0, 1]), np.array([0.3, 0.7]), np.array([1.0, 5.0]))
+    assert 0 < mixing.fit_rates(p, [m]) <= mixing.STEPS and len(m.steps) > 0
+    rows = p.collect()
+    post, n = np.array([r.p for r in rows]), np.array([r.n_tokens for r in rows])
+    assert np.allclose((m.rates(post) * n) @ post, m.target, rtol=1e-3)
+    with_steps = {tuple(r) for r in queries.p7_mixture(spark, d).select("doc_id", "copies").collect()}
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    assert {tuple(r) for r in queries.p7_mixture(spark, d).select("doc_id", "copies").collect()} != with_steps
+
+
 def test_open_documents_are_mixed_by_membership(spark, tables):
     words = {"alpha": "quark lepton boson", "beta": "violin cello viola"}
     docs = [doc(i, words["alpha" if i % 3 else "beta"] + " tree", "alpha" if i % 3 else "beta") for i in range(300)]
