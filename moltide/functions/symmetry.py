@@ -27,8 +27,8 @@ def cycles(p: np.ndarray) -> list[list[int]]:
     return out
 
 
-def group(generators: np.ndarray, most: int = 100) -> np.ndarray | None:
-    """All products of the permutations, in lexical order; None beyond ``most``."""
+def group(generators: np.ndarray, most: int = 100) -> np.ndarray:
+    """All products of the permutations, in lexical order; more than ``most`` raise ValueError."""
     n = len(generators[0])
     known, front = {tuple(range(n))}, [tuple(range(n))]
     while front:
@@ -40,7 +40,7 @@ def group(generators: np.ndarray, most: int = 100) -> np.ndarray | None:
                     known.add(q)
                     grown.append(q)
                     if len(known) > most:
-                        return None
+                        raise ValueError(f"more than {most} permutations")
         front = grown
     return np.array(sorted(known))
 

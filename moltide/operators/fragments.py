@@ -1,49 +1,38 @@
 """Fragments of records: combinations, and many-body sums over them.
 
 A record's fragments are its entities; a lower-order record belongs to a parent if both
-name the same source, the same frame and, as provenance, the same fragments. All
-lookups are equi-joins on that key.
+name the same source, the same frame and, as provenance, the same fragments. Those
+lookups are equi-joins on that key; combinations are made inside the row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltide.operators.references import clean_hash
 
 
-def entities(records: DataFrame) -> DataFrame:
-    """struct_id, entity_id, comp_id: one row a fragment."""
-    return records.select("struct_id", F.posexplode("comp_ids").alias("entity_id", "comp_id"))
-
-
-def combinations(parts: DataFrame, labels: list[str], ascending: bool = True) -> DataFrame:
-    """struct_id, comb: one fragment for each label, in the labels' order, by equi-joins on struct_id and label.
+def labelled_combinations(comp_ids: Column, labels: list[str | None], ascending: bool = True) -> Column:
+    """Combinations of fragment ids with these labels in their order, as an array of arrays; None stands for any label. No join: a row's own fragments meet.
 
     Members are distinct. By default only ascending tuples are kept, across labels too (for
     labels (A, B) a pair whose B has the smaller id is dropped); ``ascending=False`` keeps all orders.
     """
-    def slot(k: int, label: str) -> DataFrame:
-        return parts.filter(F.col("comp_id") == label).select("struct_id", F.col("entity_id").alias(f"e{k}"))
-
-    out = slot(0, labels[0])
-    for k, label in enumerate(labels[1:], 1):
-        right = slot(k, label).withColumnRenamed("struct_id", "_s")
-        apart = [F.col(f"e{k - 1}") < F.col(f"e{k}")] if ascending else [F.col(f"e{m}") != F.col(f"e{k}") for m in range(k)]
-        out = out.join(right, reduce(lambda a, b: a & b, [F.col("struct_id") == F.col("_s"), *apart])).drop("_s")
-    return out.select("struct_id", F.array(*[f"e{k}" for k in range(len(labels))]).alias("comb"))
+    ids = F.transform(comp_ids, lambda c, i: i)
+    of = lambda label: ids if label is None else F.filter(ids, lambda i: F.get(comp_ids, i) == label)
+    grown = F.transform(of(labels[0]), lambda i: F.array(i))
+    for label in labels[1:]:
+        more = of(label)
+        fits = (lambda c, i: i > F.element_at(c, -1)) if ascending else (lambda c, i: ~F.array_contains(c, i))
+        grown = _extended(grown, more, fits)
+    return grown
 
 
-def any_combinations(parts: DataFrame, order: int) -> DataFrame:
-    """struct_id, comb, comps: all ascending tuples of ``order`` fragments, whatever their labels."""
-    out = parts.select("struct_id", F.col("entity_id").alias("e0"), F.col("comp_id").alias("c0"))
-    for k in range(1, order):
-        right = parts.select(F.col("struct_id").alias("_s"), F.col("entity_id").alias(f"e{k}"), F.col("comp_id").alias(f"c{k}"))
-        out = out.join(right, (F.col("struct_id") == F.col("_s")) & (F.col(f"e{k - 1}") < F.col(f"e{k}"))).drop("_s")
-    return out.select("struct_id", F.array(*[f"e{k}" for k in range(order)]).alias("comb"), F.array(*[f"c{k}" for k in range(order)]).alias("comps"))
+def _extended(grown: Column, more: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    return F.flatten(F.transform(grown, lambda c: F.transform(F.filter(more, lambda i: fits(c, i)), lambda i: F.concat(c, F.array(i)))))
 
 
 def combinations_of(values: Column, order: int) -> Column:
@@ -77,25 +66,43 @@ def with_source(records: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def contributions(parents: DataFrame, lower: DataFrame, order: int) -> DataFrame:
-    """Lower-order energies found for each parent: struct_id, found (combinations with a record), e_lower (their sum).
+    """Lower-order energies and forces found for each parent: struct_id, found (combinations with a record), e_lower (their sum) and f_lower (3 numbers an atom of the parent).
 
-    parents and lower: struct_id, source, frame, fragments, theory, e. Of several lower records with one key the smallest struct_id counts.
+    parents: struct_id, source, frame, fragments, theory, entity_ids; lower: struct_id, source, frame, fragments, theory, e, and f with entity_ids for the
+    forces. Of several lower records with one key the smallest struct_id counts. Atoms are aligned by
+    fragment: the k-th fragment of a record has entity id k there, and the atoms of an entity lie in one order in both.
     """
     sources = lower.select("source", "theory").distinct()
     asking = parents.join(sources, ["source", "theory"], "left_semi")
-    asking = asking.select("struct_id", "source", "theory", "frame", F.explode(combinations_of(F.col("fragments"), order)).alias("fragments"))
+    asking = asking.select("struct_id", "source", "theory", "frame", F.col("fragments").alias("_all"), F.col("entity_ids").alias("_ids"), F.explode(combinations_of(F.col("fragments"), order)).alias("fragments"))
     key = ["source", "theory", "frame", "fragments"]
-    first = lower.filter("e is not null").groupBy(*key).agg(F.min_by("e", "struct_id").alias("e"))
-    return asking.join(first, key).groupBy("struct_id").agg(F.count(F.lit(1)).alias("found"), F.sum("e").alias("e_lower"))
+    held = lower.filter("e is not null")
+    first = held.groupBy(*key).agg(F.min_by(F.struct("e", "f", F.col("entity_ids").alias("ids")), "struct_id").alias("_l"))
+    rows = asking.join(first, key)
+    # where each atom of the lower record lies in the parent: fragments by their place in the parent's list, then atoms in order
+    comb = F.transform("fragments", lambda x: (F.array_position("_all", x) - 1).cast("int"))
+    at, own = atoms_of(comb, F.col("_ids")), atoms_of(F.sequence(F.lit(0), F.lit(order - 1)), F.col("_l.ids"))
+    aligned = (F.size(at) == F.size(own)) & (F.size("_l.f") == 3 * F.size(at))
+    rows = rows.select("struct_id", F.col("_l.e").alias("e"), F.when(aligned, at).alias("at"), F.when(aligned, take_atoms(F.col("_l.f"), own)).alias("f"), F.size("_ids").alias("n"))
+    energies = rows.groupBy("struct_id").agg(F.count(F.lit(1)).alias("found"), F.sum("e").alias("e_lower"), F.max("n").alias("_n"))
+    places = rows.filter("at is not null").select("struct_id", "f", F.posexplode("at").alias("k", "atom"))
+    forces = places.groupBy("struct_id", "atom").agg(*[F.sum(F.get("f", F.col("k") * 3 + c)).alias(x) for c, x in enumerate("xyz")])
+    forces = forces.groupBy("struct_id").agg(F.map_from_entries(F.collect_list(F.struct("atom", F.array(*"xyz")))).alias("_m"))  # one entry an atom of the parent
+    none = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.element_at("_m", i), none)))
+    return energies.join(forces, "struct_id", "left").select("struct_id", "found", "e_lower", F.when(F.col("_m").isNotNull(), flat).alias("f_lower"))
 
 
 def many_body(parents: DataFrame, found: DataFrame, operation: str = "remove") -> DataFrame:
-    """Parents' energies with the contributions removed or added; parents without any keep theirs."""
+    """Parents' energies (e_new) and, where parents have ``f``, forces (f_new) with the contributions removed or added; parents without any keep theirs."""
     if operation not in ("add", "remove"):
         raise ValueError("operation is 'add' or 'remove'")
     sign = -1.0 if operation == "remove" else 1.0
     rows = parents.join(found, "struct_id", "left")
-    return rows.withColumns({"found": F.coalesce("found", F.lit(0)), "e_new": F.col("e") + sign * F.coalesce("e_lower", F.lit(0.0))}).drop("e_lower")
+    rows = rows.withColumns({"found": F.coalesce("found", F.lit(0)), "e_new": F.col("e") + sign * F.coalesce("e_lower", F.lit(0.0))})
+    if "f" in parents.columns and "f_lower" in found.columns:
+        rows = rows.withColumn("f_new", F.when(F.col("f_lower").isNull(), F.col("f")).otherwise(F.zip_with("f", "f_lower", lambda a, b: a + sign * b)))
+    return rows.drop("e_lower", "f_lower")
 
 
 def totals(decomposed: DataFrame) -> DataFrame:
@@ -110,8 +117,3 @@ def alchemical(e: Column, comb: Column, order: Column, scalers: list[tuple[int,
             raise ValueError("a factor lies between 0 and 1")
         e = F.when(F.array_contains(comb, F.lit(entity)) & (order == of_order), e * factor).otherwise(e)
     return e
-
-
-def nth_of_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_n = 1").drop("_n")

@@ -12,6 +12,7 @@ the bounded system is done on the driver, or, iteratively, only vectors of its l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -66,7 +67,7 @@ def _hessian_times(x: np.ndarray, points: np.ndarray, sigma: float, right: np.nd
     d = x - points
     n = np.sqrt(5.0 * (d * d).sum(1))
     scale = 5.0 / (3.0 * sigma**2) * np.exp(-n / sigma)
-    along = np.einsum("pd,pdm->pm", d, right)
+    along = np.matmul(d[:, None], right)[:, 0]
     return scale[:, None, None] * ((1.0 + n / sigma)[:, None, None] * right - 5.0 / sigma**2 * d[:, :, None] * along[:, None, :])
 
 
@@ -75,15 +76,17 @@ def predict_raw(model: Model, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, jac = describe(r)
     e, g = np.empty(len(r)), np.empty_like(x)
     s = model.sigma
-    for a in range(0, len(r), 256):  # bounded work arrays: 256 x points x pairs
-        d = x[a : a + 256, None] - model.x[None]
+    at_once = max(1, 2_000_000 // max(1, model.x.size))  # bounded work arrays: rows x points x pairs
+    for a in range(0, len(r), at_once):
+        # differences first: products of x and point apart would lose the digits that large weights need
+        d = x[a : a + at_once, None] - model.x[None]
         n = np.sqrt(5.0 * np.einsum("qpd,qpd->qp", d, d))
         decay = 5.0 / (3.0 * s**2) * np.exp(-n / s)
         along = np.einsum("qpd,pd->qp", d, model.weights)
         phi = decay * (1.0 + n / s)
-        e[a : a + 256] = -(phi * along).sum(1)
-        g[a : a + 256] = -(phi @ model.weights) + 5.0 / s**2 * np.einsum("qp,qpd->qd", decay * along, d)
-    force = -np.einsum("ndk,nd->nk", jac, g)
+        e[a : a + at_once] = -(phi * along).sum(1)
+        g[a : a + at_once] = -(phi @ model.weights) + 5.0 / s**2 * np.matmul((decay * along)[:, None], d)[:, 0]
+    force = -np.matmul(g[:, None], jac)[:, 0]
     return model.sd * e + model.constant, model.sd * force.reshape(len(r), -1, 3)
 
 
@@ -121,18 +124,21 @@ def assemble(spark: SparkSession, r: np.ndarray, sigma: float, perms: np.ndarray
     atoms = [np.repeat(p * 3, 3) + np.tile(np.arange(3), len(p)) for p in perms]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in batch.column("i").to_pylist():
-                block = np.zeros((m - i, dim, dim))
-                for t, at in zip(turned, atoms, strict=True):
-                    # the point with its atoms permuted: descriptors in the new order, derivatives back to the old atoms
-                    px, pj = x[i:][:, t], np.zeros((m - i, len(t), dim))
-                    pj[:, :, at] = describe(r[i:][:, _order(at)])[1]
-                    block += np.einsum("dk,pdl->pkl", jac[i], _hessian_times(x[i], px, sigma, pj))
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([block.tobytes()], pa.binary())], ["i", "b"])
+        mine = sorted(i for batch in batches for i in batch.column("i").to_pylist())  # some m / 16 of the block rows
+        if not mine:
+            return
+        low, blocks = mine[0], {i: np.zeros((m - i, dim, dim)) for i in mine}
+        for t, at in zip(turned, atoms, strict=True):
+            # the points with their atoms permuted: descriptors in the new order, derivatives back to the old atoms
+            px, pj = x[low:][:, t], np.zeros((m - low, len(t), dim))
+            pj[:, :, at] = describe(r[low:][:, _order(at)])[1]
+            for i in mine:
+                blocks[i] += np.matmul(jac[i].T[None], _hessian_times(x[i], px[i - low :], sigma, pj[i - low :]))
+        for i in mine:
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([blocks[i].tobytes()], pa.binary())], ["i", "b"])
 
     k = np.zeros((m * dim, m * dim))
-    jobs = spark.range(m).select(F.col("id").alias("i")).repartition(max(1, min(m, 64)))
+    jobs = spark.range(m).select(F.col("id").alias("i")).repartition(max(1, min(m, 16)))
     for i, b in jobs.mapInArrow(rows, "i bigint, b binary").toLocalIterator():
         block = np.frombuffer(b).reshape(m - i, dim, dim)
         for step in range(m - i):
@@ -162,8 +168,8 @@ def train(spark: SparkSession, r: np.ndarray, f: np.ndarray, e: np.ndarray, z: t
     k = assemble(spark, r, sigma, perms)
     k[np.diag_indices_from(k)] += ridge
     try:
-        low = np.linalg.cholesky(k)
-        alpha = np.linalg.solve(low.T, np.linalg.solve(low, y))
+        np.linalg.cholesky(k)  # fails unless the matrix is positive definite
+        alpha = np.linalg.solve(k, y)
     except np.linalg.LinAlgError:
         alpha = np.linalg.lstsq(k, y, rcond=None)[0]
     points, weights = _weights(r, alpha, perms)
@@ -206,6 +212,14 @@ def train_iteratively(records: DataFrame, z: tuple[int, ...], sigma: float, ridg
     return Model(z, sigma, points, weights, sd, float(np.mean(rows.e.to_numpy() - predict_raw(raw, r)[0])))
 
 
+def digest(model: Model) -> str:
+    """md5 of a model's contents: atoms, constants, points and weights."""
+    h = hashlib.md5(repr((model.z, model.sigma, model.sd, model.constant)).encode())
+    for a in (model.x, model.weights):
+        h.update(np.ascontiguousarray(a, dtype=np.float64).tobytes())
+    return h.hexdigest()
+
+
 def memory_estimate(n_atoms: int, n_train: int) -> float:
     """Megabytes of the full matrix: 8 bytes times (3 atoms points)^2."""
     return 8.0 * (3 * n_atoms * n_train) ** 2 * 1e-6

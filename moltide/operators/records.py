@@ -6,7 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltide.functions.chemistry import mass, symbol
-from moltide.sources.tables import first_delivery
+from moltide.sources.tables import first_delivery, join_dimension
+
+
+def once(structures: DataFrame, key: str = "struct_id") -> DataFrame:
+    """Every key once, its first delivery (null ``loaded_at`` last), without shuffling the other columns.
+
+    Only key and time are grouped. The few repeated keys are joined as a dimension, and rows that were not their
+    first delivery fall; keys delivered twice at one time are then reduced by their own small shuffle.
+    """
+    late = F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz"))
+    times = structures.select(key, late.alias("_at")).groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = times.groupBy(key).agg(F.min("_at").alias("_first"), F.min_by("_n", "_at").alias("_ties"), F.sum("_n").alias("_all")).filter("_all > 1").drop("_all")
+    rows = join_dimension(structures, repeated, key, "left").filter(F.col("_first").isNull() | (late == F.col("_first")))
+    tied = rows.filter("_ties > 1").drop("_first", "_ties")
+    single = rows.filter("coalesce(_ties, 1) = 1").drop("_first", "_ties")
+    return single.unionByName(tied.dropDuplicates([key])) if repeated.filter("_ties > 1").limit(1).count() else single
 
 
 def sets(datasets: DataFrame) -> DataFrame:
@@ -21,9 +36,8 @@ def is_complete(r: Column, z: Column) -> Column:
 
 def complete_records(structures: DataFrame, datasets: DataFrame) -> DataFrame:
     """Complete records, each struct_id once: struct_id, dset_id, e (NaN as null), r, f, r_prov_specs, z, entity_ids, comp_ids, mb, theory."""
-    rows = structures.select("struct_id", "dset_id", F.when(~F.isnan("e"), F.col("e")).alias("e"), "r", "f", "r_prov_specs")
-    rows = rows.join(sets(datasets), "dset_id").filter(is_complete(F.col("r"), F.col("z")))
-    return rows.dropDuplicates(["struct_id"])
+    rows = once(structures.select("struct_id", "dset_id", F.when(~F.isnan("e"), F.col("e")).alias("e"), "r", "f", "r_prov_specs", "loaded_at")).drop("loaded_at")
+    return join_dimension(rows, sets(datasets), "dset_id").filter(is_complete(F.col("r"), F.col("z")))
 
 
 def atoms(records: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from moltide.operators import kernel, losses, sampling
 
 def training_rows(records: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Arrays of the chosen records (at most kernel.MAX_POINTS): r, f, e and ids."""
-    rows = records.join(F.broadcast(chosen.select("struct_id").limit(kernel.MAX_POINTS)), "struct_id").orderBy("struct_id").select("struct_id", "r", "f", "e").toPandas()
+    ids = chosen.select("struct_id").limit(kernel.MAX_POINTS + 1)
+    rows = records.join(F.broadcast(ids), "struct_id").orderBy("struct_id").select("struct_id", "r", "f", "e").toPandas()
+    if len(rows) > kernel.MAX_POINTS:
+        raise ValueError(f"more than {kernel.MAX_POINTS} training records")
     pack = lambda c: np.stack([np.asarray(v, float) for v in rows[c]]).reshape(len(rows), -1, 3)
     return pack("r"), pack("f"), rows.e.to_numpy(), rows.struct_id.tolist()
 

@@ -75,26 +75,123 @@ def test_water_box(spark):
 
 
 def test_combinations(spark):
-    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "b")], "struct_id bigint, entity_id int, comp_id string")
-    rows = lambda df: sorted(tuple(x.comb) for x in df.collect())
-    assert rows(fr.combinations(parts, ["a", "a"])) == [(0, 2)]
-    assert rows(fr.combinations(parts, ["a", "b"])) == [(0, 1)]  # (2, 1) falls, as it doesn't rise
-    assert rows(fr.combinations(parts, ["a", "b"], ascending=False)) == [(0, 1), (2, 1)]
-    assert rows(fr.any_combinations(parts, 3)) == [(0, 1, 2)]
+    from moltide.plans import nbody
+
+    df = spark.createDataFrame([(["a", "b", "a"],), (["b"],), ([],)], "comp_ids array<string>")
+    rows = lambda *a, **k: [tuple(map(tuple, x[0])) for x in df.select(fr.labelled_combinations(F.col("comp_ids"), *a, **k)).collect()]
+    assert rows(["a", "a"]) == [((0, 2),), (), ()]
+    assert rows(["a", "b"]) == [((0, 1),), (), ()]  # (2, 1) falls, as it doesn't rise
+    assert rows(["a", "b"], ascending=False) == [((0, 1), (2, 1)), (), ()]
+    assert rows([None, None, None]) == [((0, 1, 2),), (), ()] and rows([None])[1] == ((0,),)
+    for labels in (["a", "a"], ["a", "b"], [None, None], [None, "a"]):
+        assert rows(labels)[0] == tuple(nbody.combinations(["a", "b", "a"], tuple(labels)))
     df = spark.createDataFrame([([7, 3, 9, 5],), ([1],), ([],)], "v array<bigint>")
     got = [x[0] for x in df.select(fr.combinations_of(F.col("v"), 2)).collect()]
     assert got == [[list(c) for c in itertools.combinations([7, 3, 9, 5], 2)], [], []]
 
 
 def test_many_body(spark):
-    p = spark.createDataFrame([(1, "s", 0, [1, 2, 3], "t", -10.0), (2, "s", 1, [1, 2, 3], "t", -5.0)], "struct_id bigint, source string, frame bigint, fragments array<bigint>, theory string, e double")
-    low = spark.createDataFrame([(9, "s", 0, [1, 2], "t", -1.0), (8, "s", 0, [1, 2], "t", -2.0), (7, "s", 0, [2, 3], "t", -3.0), (6, "x", 0, [1, 3], "t", -4.0), (5, "s", 0, [1, 3], "t", None)], p.schema)
-    got = {r.struct_id: (r.found, r.e_new) for r in fr.many_body(p, fr.contributions(p, low, 2), "remove").collect()}
-    assert got == {1: (2, -5.0), 2: (0, -5.0)}  # of two records with one key the smaller id
+    schema = "struct_id bigint, source string, frame bigint, fragments array<bigint>, theory string, e double, f array<double>, entity_ids array<int>"
+    atoms = lambda *ids: [float(i) for i in ids for _ in range(3)]
+    # fragments 1, 2, 3 of one, two and one atoms; the second one's atoms are not next to each other
+    p = spark.createDataFrame([(1, "s", 0, [1, 2, 3], "t", -10.0, atoms(10, 20, 30, 40), [1, 0, 1, 2]), (2, "s", 1, [1, 2, 3], "t", -5.0, None, [0, 1, 1, 2])], schema)
+    low = spark.createDataFrame(
+        [
+            (9, "s", 0, [1, 2], "t", -1.0, atoms(9, 9, 9), [0, 1, 1]), (8, "s", 0, [1, 2], "t", -2.0, atoms(1, 2, 3), [0, 1, 1]), (7, "s", 0, [2, 3], "t", -3.0, atoms(5, 6, 7), [0, 0, 1]),
+            (6, "x", 0, [1, 3], "t", -4.0, None, [0, 1]), (5, "s", 0, [1, 3], "t", None, None, [0, 1]),
+        ],
+        schema,
+    )
+    found = fr.contributions(p, low, 2)
+    got = {r.struct_id: r for r in fr.many_body(p, found, "remove").collect()}
+    assert {i: (r.found, r.e_new) for i, r in got.items()} == {1: (2, -5.0), 2: (0, -5.0)}  # of two records with one key the smaller id
+    # atom 0 and 2 are fragment 2's: (2, 3) of the first record and (5, 6) of the second; atom 1 is fragment 1's, atom 3 fragment 3's
+    assert got[1].f_new == atoms(10 - 2 - 5, 20 - 1, 30 - 3 - 6, 40 - 7) and got[2].f_new is None
+    back = fr.many_body(spark.createDataFrame([(1, got[1].e_new, got[1].f_new)], "struct_id bigint, e double, f array<double>"), found, "add").first()
+    assert back.e_new == -10.0 and back.f_new == atoms(10, 20, 30, 40)
     with pytest.raises(ValueError):
         fr.many_body(p, p, "divide")
 
 
+def test_skewed_cells():
+    from moltide.operators.cells import Cell
+
+    rng = np.random.default_rng(2)
+    v = np.array([[8.0, 0, 0], [3.5, 7.0, 0], [1.0, -2.0, 9.0]])
+    cell, d = Cell(tuple(map(tuple, v))), rng.normal(size=(200, 3)) * 20
+    images = np.stack(np.meshgrid(*[np.arange(-9, 10)] * 3, indexing="ij"), -1).reshape(-1, 3) @ v
+    best = np.sqrt(((d[:, None] + images[None]) ** 2).sum(2).min(1))
+    assert np.allclose(np.linalg.norm(cell.shortest(d), axis=1), best)
+    assert cell.limit == pytest.approx(np.linalg.norm(v, axis=1).min() / 2) and cell.volume == pytest.approx(8 * 7 * 9)
+    box = Cell(((10.0, 0, 0), (0, 12.0, 0), (0, 0, 14.0)))
+    r, whole = box.unwrapped(np.array([[[0.5, 0, 0], [9.8, 0, 0]], [[0, 0, 0], [4.9, 1.2, 0]]]))
+    assert np.allclose(r[0, 1], [-0.7, 0, 0]) and whole.tolist() == [True, False]  # 5.04 is not under half the shortest side
+    with pytest.raises(ValueError):
+        Cell(((1.0, 0, 0), (2.0, 0, 0), (0, 0, 1.0)))
+
+
+def test_nbody_prediction(spark):
+    """Orders, forces, cells and cutoffs against loops; rejected and missing combinations are null and add nothing."""
+
+    class Springs:  # half the square of the distance; made here, so that it travels to the workers with its code
+        z = (1, 1)
+
+        def evaluate(self, r):
+            d = r[:, 0] - r[:, 1]
+            return 0.5 * (d * d).sum(1), np.stack([-d, d], 1)
+
+    from moltide.operators.cells import Cell
+    from moltide.plans import nbody
+
+    rng = np.random.default_rng(1)
+    r = rng.uniform(0, 6, (3, 4, 3))
+    schema = "struct_id bigint, r array<double>, z array<int>, entity_ids array<int>, comp_ids array<string>"
+    rows = [(i, x.ravel().tolist(), [1] * 4, [0, 1, 2, 3], ["a", "a", "b", "a"]) for i, x in enumerate(r)]
+    df = spark.createDataFrame([*rows, (7, None, [1], [0], ["a"]), (8, [0.0] * 3, [1], [0], ["a"]), (9, [0.0] * 5, [1, 1], [0, 1], ["a", "a"])], schema)
+    cell = Cell(((6.0, 0, 0), (0, 6.0, 0), (0, 0, 6.0)), 2.9)
+    for c in (None, cell):
+        model = nbody.NBodyModel(Springs(), ("a", "a"), 3.5)
+        parts = {(x.struct_id, tuple(x.comb)): x for x in nbody.decomposed(df, [model], c).collect()}
+        told = {x.struct_id: x for x in nbody.total(df, [model, nbody.NBodyModel(Springs(), ("a", "b"))], c).collect()}
+        assert set(parts) == {(i, p) for i in range(3) for p in ((0, 1), (0, 3), (1, 3))} and set(told) == {0, 1, 2, 8}
+        assert told[8].e == 0.0 and told[8].combs == 0
+        for i in range(3):
+            e, f = 0.0, np.zeros((4, 3))
+            for a, b, cut in ((0, 1, 3.5), (0, 3, 3.5), (1, 3, 3.5), (0, 2, np.inf), (1, 2, np.inf)):
+                d = r[i, b] - r[i, a]
+                d = d if c is None else c.shortest(d)
+                far = np.linalg.norm(d)
+                ok = far < cut and (c is None or far < 2.9)
+                if (i, (a, b)) in parts:
+                    x = parts[i, (a, b)]
+                    assert x.accepted == ok and (x.e is None) == (not ok) and np.isclose(x.spread, far) and (not ok or np.isclose(x.e, 0.5 * far**2))
+                if ok:
+                    e, f[a], f[b] = e + 0.5 * far**2, f[a] + d, f[b] - d
+            assert np.isclose(told[i].e, e) and np.allclose(np.reshape(told[i].f, (4, 3)), f) and told[i].combs == 5
+    half = nbody.total(df, [model], None, [(0, 2, 0.5)]).filter("struct_id = 0").first()
+    whole = nbody.decomposed(df, [model]).filter("struct_id = 0")
+    want = sum((0.5 if 0 in x.comb else 1.0) * (x.e or 0.0) for x in whole.collect())
+    assert np.isclose(half.e, want)
+    stored = nbody.decomposed(df, [model])
+    sums = {x.struct_id: x.e for x in nbody.summed(stored, [2]).collect()}
+    direct = {x.struct_id: x for x in nbody.total(df, [model]).collect()}
+    assert all(np.isclose(sums[i], direct[i].e) for i in range(3)) and nbody.summed(stored, [3]).count() == 0
+    forces = {(x.struct_id, x.atom_idx): (x.fx, x.fy, x.fz) for x in nbody.summed_forces(df, stored).collect()}
+    assert all(np.allclose(v, np.reshape(direct[i].f, (4, 3))[a]) for (i, a), v in forces.items())
+
+
+def test_records_come_once(spark):
+    """The first delivery stays; without a time it is the last; equal times leave one row."""
+    import datetime as dt
+
+    from moltide.operators.records import once
+
+    t = lambda day: dt.datetime(2024, 1, day)
+    rows = [(1, "a", t(2)), (1, "b", t(1)), (2, "c", None), (2, "d", t(5)), (3, "e", t(1)), (3, "e", t(1)), (4, "f", None), (4, "f", None), (5, "g", t(9)), (None, "h", t(1))]
+    got = sorted((x.struct_id, x.v) for x in once(spark.createDataFrame(rows, "struct_id bigint, v string, loaded_at timestamp_ntz")).filter("struct_id is not null").collect())
+    assert got == [(1, "b"), (2, "d"), (3, "e"), (4, "f"), (5, "g")]
+
+
 def test_alchemy(spark):
     df = spark.createDataFrame([([0, 1], 2, 8.0), ([1, 2], 2, 8.0), ([0, 1, 2], 3, 8.0)], "comb array<int>, k int, e double")
     assert [x[0] for x in df.select(fr.alchemical(F.col("e"), F.col("comb"), F.col("k"), [(0, 2, 0.5), (1, 2, 0.5)])).collect()] == [2.0, 4.0, 8.0]
@@ -184,7 +281,9 @@ def test_grid_stops_when_the_loss_rises():
 def test_permutation_group():
     p = np.array([[1, 2, 0, 3], [1, 0, 2, 3]])
     g6 = symmetry.group(p)
-    assert len(g6) == 6 and symmetry.group(p, 5) is None
+    assert len(g6) == 6
+    with pytest.raises(ValueError):
+        symmetry.group(p, 5)
     assert {tuple(symmetry.inverse(x)) for x in g6} == {tuple(x) for x in g6}
     assert symmetry.cycles(np.array([1, 2, 0, 3])) == [[0, 1, 2]]
 
@@ -212,3 +311,16 @@ def test_weighted_draw(spark):
     rows = spark.createDataFrame([(i, 1.0 if i % 2 else 9.0) for i in range(400)] + [(1000, 0.0), (1001, None)], "id bigint, w double").withColumn("k", F.lit(0))
     got = [x.id for x in sampling.weighted_sample(rows, ["k"], "w", "id", 100).collect()]
     assert len(set(got)) == 100 and max(got) < 1000 and sum(i % 2 == 0 for i in got) > 70
+
+
+def test_models_are_kept(spark, tmp_path):
+    from moltide.plans import nbody
+    from moltide.sources import models as kept
+
+    r, f, e = _training(8)
+    model = nbody.NBodyModel(kernel.train(spark, r, f, e, (8, 1, 1), 1.0, 1e-6), ("wat",), None)
+    kept.save_models(spark, [model], str(tmp_path))
+    (back,) = kept.load_models(spark, str(tmp_path))
+    assert back.labels == ("wat",) and np.array_equal(back.model.x, model.model.x) and np.allclose(kernel.predict_raw(back.model, r)[0], kernel.predict_raw(model.model, r)[0])
+    with pytest.raises(ValueError):
+        kept.load_models(spark, str(tmp_path), ["0" * 32])
