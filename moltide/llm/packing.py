@@ -124,8 +124,8 @@ def pack(documents: DataFrame, capacities: DataFrame) -> DataFrame:
     many = F.coalesce(F.create_map(*[F.lit(int(x)) for pair in chunks.items() for x in pair])[F.col("pack_id").cast("int")], F.lit(1)) if chunks else F.lit(1)
     items = items.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), many).cast("int")).withColumn("pack_id", F.col("pack_id").cast("int"))
     packed = items.select("pack_id", "capacity", "chunk", "doc_id", "piece", "first_token", "n_tokens").groupBy("pack_id", "chunk").applyInArrow(fill_chunk, schema)
-    # a full piece is a container of its own: negative numbers, made of the piece's own key
-    own = -(F.abs(F.xxhash64("doc_id", "piece")) % F.lit(1 << 62)) - 1
+    # a full piece is a container of its own: a negative number that holds the document (up to 2^43) and the piece (up to 2^20)
+    own = -F.shiftleft(F.col("doc_id"), 20).bitwiseOR(F.col("piece").cast("bigint")) - 1
     return packed.unionByName(whole.select(F.col("pack_id").cast("int").alias("pack_id"), own.alias("container_id"), "doc_id", "piece", "first_token", "n_tokens"))
 
 

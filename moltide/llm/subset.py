@@ -3,7 +3,8 @@
 Each complete record with an energy gets four features: the coordinates of its
 distance vector on the three directions of largest variance of its composition, and
 its energy against the mean of its kind (total, 2-body, ...), all in standard
-deviations. Quantised to BITS bits each they are a point of a grid, and the grid's
+deviations x and brought into 0 ... 1 by 1/2 + arctan(x) / pi, which never ends: outliers keep cells of their
+own. Quantised to BITS bits each they are a point of a grid, and the grid's
 Hilbert curve numbers it; the first bits of that number are the cell of any coarser
 grid. Per request the coarsest grid with at least CELLS_PER_PICK cells a pick is
 taken, its distinct cells are sorted over the whole cluster, evenly spaced cells are chosen,
@@ -31,8 +32,6 @@ from moltide.sources.tables import materialise, table
 
 DIMENSIONS, BITS = 4, 8
 CELLS_PER_PICK = 2
-#: Features are cut at so many standard deviations.
-SPAN = 3.0
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -114,14 +113,32 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def _global_order(cells: DataFrame) -> DataFrame:
-    """``cells`` (request_id, cell) with position and total per request: sorted over the cluster, no request in one task."""
+    """``cells`` with position and total per request: sorted over the cluster by request_id and cell, no request in one task."""
     ordered = cells.repartitionByRange("request_id", "cell").sortWithinPartitions("request_id", "cell")
     ordered = materialise(ordered.withColumn("part", F.spark_partition_id()), "ordered")
     counts = ordered.groupBy("request_id", "part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = Window.partitionBy("request_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumns({"offset": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("request_id"))}).drop("n")
     inside = F.row_number().over(Window.partitionBy("request_id", "part").orderBy("cell")) - 1
-    return ordered.withColumn("_i", inside).join(counts, ["request_id", "part"]).select("request_id", "cell", (F.col("_i") + F.col("offset")).alias("position"), "total")
+    return ordered.withColumn("_i", inside).join(counts, ["request_id", "part"]).withColumn("position", F.col("_i") + F.col("offset")).drop("_i", "offset", "part")
+
+
+def _in_turn(celled: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Where even the finest grid has fewer cells than picks: first records of all cells, then second ones, ... until the size is reached.
+
+    celled: request_id, cell, struct_id, off; chosen: the cells of such requests with subset_size, position, total, cell_rows. Whole levels are taken
+    by their counts; only the last one's rows, fewer than the request's size, are put in order.
+    """
+    most = chosen.agg(F.max("subset_size")).first()[0]
+    # the rank is cut before the shuffle; beyond the size no cell can need a record
+    ranked = celled.withColumn("nth", F.row_number().over(Window.partitionBy("request_id", "cell").orderBy("off", "struct_id"))).filter(F.col("nth") <= int(most))
+    rows = materialise(ranked.join(chosen.select("request_id", "cell", "subset_size", "position", "cell_rows"), ["request_id", "cell"]), "turns")
+    levels = rows.groupBy("request_id", "nth").agg(F.count(F.lit(1)).alias("n"))  # at most subset_size rows a request
+    before = Window.partitionBy("request_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(levels.withColumn("taken", F.coalesce(F.sum("n").over(before), F.lit(0))), ["request_id", "nth"]).filter("taken < subset_size")
+    whole, last = rows.filter("taken + n <= subset_size"), rows.filter("taken + n > subset_size")
+    last = last.withColumn("_place", F.row_number().over(Window.partitionBy("request_id").orderBy("position"))).filter("taken + _place <= subset_size")
+    return whole.unionByName(last.drop("_place"))
 
 
 def varied_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +152,7 @@ def varied_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spread = features.groupBy("comps", "kind").agg(F.avg("e").alias("_mean"), F.stddev_pop("e").alias("_sd"))
     points = features.join(spread, ["comps", "kind"]).withColumn(f"p{DIMENSIONS - 1}", F.coalesce((F.col("e") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")), F.lit(0.0)))
-    unit = [F.least(F.greatest((F.col(f"p{i}") + SPAN) / (2 * SPAN), F.lit(0.0)), F.lit(1.0 - 1e-9)).alias(f"u{i}") for i in range(DIMENSIONS)]
+    unit = [F.least(F.atan(f"p{i}") / np.pi + 0.5, F.lit(1.0 - 1e-9)).alias(f"u{i}") for i in range(DIMENSIONS)]
     points = points.select("comps", "kind", "struct_id", *unit)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +171,12 @@ def varied_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.pow(F.lit(2.0), F.col("bits"))
     off = sum((F.col(f"u{i}") * side - F.floor(F.col(f"u{i}") * side) - 0.5) ** 2 for i in range(DIMENSIONS))
     cell = (F.col("kind").cast("bigint") * (1 << (DIMENSIONS * BITS))) + F.expr(f"shiftright(key, int({DIMENSIONS} * ({BITS} - bits)))")
-    keyed = keyed.select("request_id", "subset_size", cell.alias("cell"), "struct_id", off.alias("off"))
-
-    cells = _global_order(keyed.groupBy("request_id", "subset_size", "cell").agg(F.count(F.lit(1)).alias("cell_rows")).select("request_id", "cell"))
-    chosen = cells.join(requests.select("request_id", "subset_size"), "request_id")
+    celled = materialise(keyed.select("request_id", cell.alias("cell"), "struct_id", off.alias("off")), "celled")
+    best = F.min(F.struct("off", "struct_id"))["struct_id"]
+    cells = _global_order(celled.groupBy("request_id", "cell").agg(F.count(F.lit(1)).alias("cell_rows"), best.alias("struct_id")))
+    cells = materialise(cells.join(requests.select("request_id", "subset_size"), "request_id"), "cells")
     step = lambda x: F.floor(x * F.col("subset_size") / F.col("total"))
-    chosen = chosen.filter(step(F.col("position") + 1) > step(F.col("position")))
-    sizes = keyed.groupBy("request_id", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    most = requests.agg(F.max("subset_size")).first()[0] or 0
-    in_cell = Window.partitionBy("request_id", "cell").orderBy("off", "struct_id")
-    # the rank is cut before the shuffle; beyond the largest size no cell can need a record
-    ranked = keyed.withColumn("nth", F.row_number().over(in_cell)).filter(F.col("nth") <= int(most))
-    picks = ranked.drop("subset_size").join(chosen, ["request_id", "cell"])
-    few = F.col("total") < F.col("subset_size")
-    picks = picks.join(sizes, ["request_id", "cell"])
-    # where cells are fewer than picks, second and third records come in turn
-    turn = Window.partitionBy("request_id").orderBy("nth", "position")
-    in_turn = picks.filter(few).withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("subset_size"))
     columns = ["request_id", "struct_id", "position", "cell_rows"]
-    return picks.filter(~few & (F.col("nth") == 1)).select(*columns).unionByName(in_turn.select(*columns))
+    picks = cells.filter("total >= subset_size").filter(step(F.col("position") + 1) > step(F.col("position"))).select(*columns)
+    few = cells.filter("total < subset_size")
+    return picks.unionByName(_in_turn(celled, few).select(*columns)) if few.limit(1).count() else picks
