@@ -93,6 +93,26 @@ def test_codes_bound_the_distances():
     assert inside / total > 0.97
 
 
+def test_two_levels_of_centroids_find_the_same(monkeypatch):
+    x = np.repeat(RNG.normal(size=(60, 12)) * 3, 20, axis=0) + RNG.normal(size=(1200, 12)) * 0.2
+    c = vectors.k_means(x, 200)
+    flat = vectors.Cells({"k": c})
+    monkeypatch.setattr(vectors, "FLAT", 16)
+    deep = vectors.Cells({"k": c})
+    assert flat.centroids["k"].tops is None and deep.centroids["k"].tops is not None
+    exact = vectors.nearest(x, c)
+    gap = np.sqrt(vectors.squared(c, c))
+    for reach in (-1.0, 0.1, 0.6):
+        (home, visits), (home2, visits2) = (cells.of("k", x, reach) for cells in (flat, deep))
+        assert (home == exact).all() and (home2 == exact).all()
+        d2 = vectors.squared(x, c)
+        beyond = (d2 - d2[np.arange(len(x)), exact][:, None]) / np.where(gap[exact] > 0, 2 * gap[exact], np.nan)
+        want = set(zip(*np.nonzero(beyond <= reach), strict=True)) if reach >= 0 else set()
+        assert set(zip(*visits, strict=True)) == set(zip(*visits2, strict=True)) == want
+    assert all(np.bincount(cells.of("k", x, None, 5)[1][0]).tolist() == [5] * len(x) for cells in (flat, deep))
+    assert 20 <= len(vectors.split_k_means(x, 60)) <= 90
+
+
 def clusters_of(rows):
     ids, dist, e = brute(rows)
     similar = (dist <= 0.4) & (np.abs(e[:, None] - e[None]) <= 1.0)
