@@ -94,7 +94,7 @@ def problem_clusters(clusters: DataFrame, least_rows: int) -> DataFrame:
     return rows.filter(F.col("loss") >= F.col("bound") - 1e-12).drop("_held", "_mean", "_c")
 
 
-def top_of_clusters(rows: DataFrame, quota: DataFrame) -> DataFrame:
-    """The quota's many rows of highest loss of each cluster; rows: cluster, row_id, loss."""
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("loss").desc(), "row_id")))
+def top_of_clusters(rows: DataFrame, quota: DataFrame, most: int) -> DataFrame:
+    """The quota's many rows of highest loss of each cluster; rows: cluster, row_id, loss. No quota is above ``most``, so ranks are cut before the shuffle."""
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("loss").desc(), "row_id"))).filter(F.col("place") <= most)
     return ranked.join(quota.select("cluster", "quota"), "cluster").filter(F.col("place") <= F.col("quota")).drop("quota")

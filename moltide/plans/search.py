@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moltide.operators import kernel, losses, sampling
+from moltide.operators import geometry, kernel, losses, sampling
+from moltide.sources.tables import materialise
 
 
 def training_rows(records: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -58,6 +59,27 @@ def active_learning(records: DataFrame, start: DataFrame, z: tuple[int, ...], si
             return model, spark.createDataFrame(log, "round int, n_train int, f_rmse double, worst double")
         binned = sampling.strata(rows.withColumn("k", F.lit(0)), ["k"], "e", 20).withColumn("cluster", F.col("bin")).withColumnRenamed("struct_id", "row_id")
         clusters = binned.groupBy("cluster").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("population"))  # at most 10 bins
-        new = sampling.top_of_clusters(binned.select("cluster", "row_id", "loss"), sampling.cluster_quotas(clusters, add))
+        new = sampling.top_of_clusters(binned.select("cluster", "row_id", "loss"), sampling.cluster_quotas(clusters, add), add)
         more = [x.row_id for x in new.select("row_id").collect()]  # ``add`` ids
         chosen = spark.createDataFrame([(int(i),) for i in (*ids, *more)], "struct_id bigint")
+
+
+def error_mining(told: DataFrame, n_clusters: int, least_rows: int, n_select: int) -> tuple[DataFrame, DataFrame]:
+    """Where a model fails: records grouped by k-means on their pair distances, the groups of high loss, and the records to add from them.
+
+    told: struct_id, loss, r of one kind of record (equal numbers of atoms). Gives (cluster, loss, population, bound, quota) of the
+    problem clusters, and (cluster, row_id, loss, place) of the ``n_select`` records of highest loss shared out over them.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = materialise(told.select("struct_id", "loss", array_to_vector(geometry.pair_distances(F.col("r"))).alias("v")), "errors")
+    if rows.limit(n_clusters + 1).count() > n_clusters:
+        rows = KMeans(k=n_clusters, seed=1, featuresCol="v", predictionCol="cluster", maxIter=10).fit(rows).transform(rows)
+    else:
+        rows = rows.withColumn("cluster", F.lit(0))
+    rows = materialise(rows.select("cluster", F.col("struct_id").alias("row_id"), "loss"), "clustered")
+    clusters = rows.groupBy("cluster").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("population"))  # n_clusters rows
+    problems = sampling.problem_clusters(clusters, least_rows)
+    quota = materialise(sampling.cluster_quotas(problems.select("cluster", "loss", "population"), n_select), "quotas")
+    return problems.join(quota.select("cluster", "quota"), "cluster"), sampling.top_of_clusters(rows, quota, n_select)

@@ -40,11 +40,12 @@ def fragment_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
-    """Energies, lengths and forces of every record taken as hartree, bohr and hartree/bohr, in common units."""
+    """Energies, all coordinates and all forces of every record taken as hartree, bohr and hartree/bohr, in common units: the energy, and the mean squares of the others."""
     e = chemistry.convert_energy(F.col("e"), "hartree", "kcal/mol")
-    r0 = chemistry.convert_length(F.get(F.col("r"), F.lit(0)), "bohr", "angstrom")
-    f0 = chemistry.convert_force(F.get(F.col("f"), F.lit(0)), ("hartree", "bohr"), ("kcal/mol", "angstrom"))
-    return records(spark, d).select("struct_id", F.round(e, 2).alias("e"), F.round(r0, 6).alias("x0"), F.round(f0, 4).alias("fx0"))
+    r = F.transform("r", lambda x: chemistry.convert_length(x, "bohr", "angstrom"))
+    f = F.transform("f", lambda x: chemistry.convert_force(x, ("hartree", "bohr"), ("kcal/mol", "angstrom")))
+    mean = lambda a: _sum(F.transform(a, lambda x: x * x)) / F.size(a)
+    return records(spark, d).select("struct_id", F.round(e, 2).alias("e"), F.round(F.sqrt(mean(r)), 6).alias("r_rms"), F.round(F.sqrt(mean(f)), 3).alias("f_rms"))
 
 
 def centered_structures(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +66,9 @@ def pair_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_summary(spark: SparkSession, d: str) -> DataFrame:
     """Least, largest and total pair distance, and the two pair orders' checksums."""
-    low, up = g.pair_distances(F.col("r")), g.upper_pair_distances(F.col("r"))
-    weighted = lambda a: _sum(F.transform(a, lambda x, k: x * (k + 1)))
-    return records(spark, d).select("struct_id", F.round(F.array_min(low), 6).alias("least"), F.round(g.max_pair_distance(F.col("r")), 6).alias("largest"), F.round(_sum(low), 4).alias("total"), F.round(weighted(low), 3).alias("lower_order"), F.round(weighted(up), 3).alias("upper_order"))
+    rows = records(spark, d).select("struct_id", F.explode(F.array(F.struct(g.pair_distances(F.col("r")).alias("low"), g.upper_pair_distances(F.col("r")).alias("up")))).alias("d"))  # each list is made once
+    weighted = lambda a: F.aggregate(F.transform(a, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("struct_id", F.round(F.array_min("d.low"), 6).alias("least"), F.round(F.array_max("d.low"), 6).alias("largest"), F.round(_sum(F.col("d.low")), 4).alias("total"), F.round(weighted("d.low"), 3).alias("lower_order"), F.round(weighted("d.up"), 3).alias("upper_order"))
 
 
 def inverse_descriptor(spark: SparkSession, d: str) -> DataFrame:
@@ -76,14 +77,17 @@ def inverse_descriptor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def descriptor_jacobian(spark: SparkSession, d: str) -> DataFrame:
-    """The Jacobian's components summed over pairs, and the force that equal pair values put on the first atom."""
-    j = g.descriptor_jacobian(F.col("r"))
+    """The Jacobian's components summed over pairs, and the forces that equal pair values put on the atoms: the first one's, and the mean square of all."""
     n = F.size("z")
     ones = F.array_repeat(F.lit(1.0), F.floor(n * (n - 1) / 2).cast("int"))
-    force = g.scatter_to_atoms(F.col("r"), ones)
-    component = lambda k: F.transform(j, lambda v: F.get(v, F.lit(k)))
-    parts = [F.round(_sum(component(k)), 6).alias(f"sum_{n}") for k, n in enumerate("xyz")]
-    return records(spark, d).select("struct_id", *parts, *[F.round(F.get(force, F.lit(k)), 6).alias(f"first_{n}") for k, n in enumerate("xyz")])
+    rows = records(spark, d).select("struct_id", g.let(g.descriptor_jacobian(F.col("r")), lambda j: F.array(*[_component_sum(j, c) for c in range(3)])).alias("s"), g.scatter_to_atoms(F.col("r"), ones).alias("f"))
+    parts = [F.round(F.get("s", F.lit(k)), 6).alias(f"sum_{n}") for k, n in enumerate("xyz")]
+    first = [F.round(F.get("f", F.lit(k)), 6).alias(f"first_{n}") for k, n in enumerate("xyz")]
+    return rows.select("struct_id", *parts, *first, F.round(F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x) / F.size("f"), 6).alias("mean_square"))
+
+
+def _component_sum(j: Column, k: int) -> Column:
+    return F.aggregate(j, F.lit(0.0), lambda s, v: s + F.get(v, F.lit(k)))
 
 
 def descriptor_times_forces(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +150,8 @@ ORACLE = {
     "fragment_ids": _D + """, k as (select *, len(z) // len(comp_ids) as each from d where len(z) > 0 and len(comp_ids) > 0 and len(z) % len(comp_ids) = 0),
         m as (select *, list_transform(range(len(z)), lambda i: (i // each)::int) as made from k)
         select dset_id, array_to_string(made, ',') as made_ids, array_to_string(list_transform(comp_ids, lambda c: comp_ids[1]), ',') as first_label, made = entity_ids as as_stored from m""",
-    "unit_conversion": RECS + "select struct_id, round(e * 627.5094740631, 2) as e, round(r[1] * 0.529177210903, 6) as x0, round(f[1] * (627.5094740631 / 0.529177210903), 4) as fx0 from recs",
+    "unit_conversion": RECS + """select struct_id, round(e * 627.5094740631, 2) as e, round(sqrt(list_sum(list_transform(r, lambda x: (x * 0.529177210903) ** 2)) / len(r)), 6) as r_rms,
+        round(sqrt(list_sum(list_transform(f, lambda x: (x * (627.5094740631 / 0.529177210903)) ** 2)) / len(f)), 3) as f_rms from recs""",
     "centered_structures": _COM + """select struct_id, round(sum((x - cx) ** 2 + (y - cy) ** 2 + (w - cw) ** 2), 5) as spread, round(max(case when a = 0 then x - cx end), 6) as first_x,
         round(max(case when a = 0 then y - cy end), 6) as first_y, round(max(case when a = 0 then w - cw end), 6) as first_z from atoms join com using (struct_id) group by 1""",
     "center_of_mass": _COM + "select struct_id, round(cx, 6) as x, round(cy, 6) as y, round(cw, 6) as z from com",
@@ -155,8 +160,11 @@ ORACLE = {
           select *, i * (i - 1) // 2 + j + 1 as lo, j * k - j * (j + 1) // 2 + (i - j) as up from pairs join n using (struct_id))
         select struct_id, round(min(dist), 6) as least, round(max(dist), 6) as largest, round(sum(dist), 4) as total, round(sum(dist * lo), 3) as lower_order, round(sum(dist * up), 3) as upper_order from o group by 1""",
     "inverse_descriptor": ATOMS + "select struct_id, count(*) as n_pairs, round(sum(1 / dist), 6) as total, round(max(1 / dist), 6) as largest from pairs group by 1",
-    "descriptor_jacobian": ATOMS + """select struct_id, round(sum(dx / dist ** 3), 6) as sum_x, round(sum(dy / dist ** 3), 6) as sum_y, round(sum(dw / dist ** 3), 6) as sum_z,
-        round(sum(case when j = 0 then dx / dist ** 3 else 0 end), 6) as first_x, round(sum(case when j = 0 then dy / dist ** 3 else 0 end), 6) as first_y, round(sum(case when j = 0 then dw / dist ** 3 else 0 end), 6) as first_z from pairs group by 1""",
+    "descriptor_jacobian": ATOMS + """, fa as (select struct_id, j as a, dx / dist ** 3 as x, dy / dist ** 3 as y, dw / dist ** 3 as w from pairs union all select struct_id, i, -dx / dist ** 3, -dy / dist ** 3, -dw / dist ** 3 from pairs),
+        on_atom as (select struct_id, a, sum(x) as x, sum(y) as y, sum(w) as w from fa group by 1, 2), ms as (select struct_id, avg(x * x + y * y + w * w) / 3 as m from on_atom group by 1)
+        select struct_id, round(sum(dx / dist ** 3), 6) as sum_x, round(sum(dy / dist ** 3), 6) as sum_y, round(sum(dw / dist ** 3), 6) as sum_z,
+        round(sum(case when j = 0 then dx / dist ** 3 else 0 end), 6) as first_x, round(sum(case when j = 0 then dy / dist ** 3 else 0 end), 6) as first_y, round(sum(case when j = 0 then dw / dist ** 3 else 0 end), 6) as first_z,
+        round(any_value(m), 6) as mean_square from pairs join ms using (struct_id) group by 1""",
     "descriptor_times_forces": ATOMS + """, m as (select p.struct_id, (p.dx * (b.fx - a.fx) + p.dy * (b.fy - a.fy) + p.dw * (b.fz - a.fz)) / dist ** 3 as v from pairs p join atoms a on p.struct_id = a.struct_id and p.i = a.a
           join atoms b on p.struct_id = b.struct_id and p.j = b.a where p.struct_id in (select struct_id from recs where len(f) = 3 * len(z)))
         select struct_id, round(min(v), 4) as least, round(max(v), 4) as largest, round(sum(v), 3) as total from m group by 1""",

@@ -103,6 +103,17 @@ def model_errors(spark: SparkSession, d: str) -> DataFrame:
     return told.groupBy("dset_id").agg(losses.mae(e).alias("e_mae"), losses.rmse(e).alias("e_rmse"), F.sqrt(F.avg(f)).alias("f_rmse"), F.count(F.lit(1)).alias("n"))
 
 
+def error_mining(spark: SparkSession, d: str) -> DataFrame:
+    """End to end for the triples of water: errors of their model, clusters by structure, problem clusters, and the records of highest loss chosen from them."""
+    rows, models = _models(spark, d)
+    model = next((m.model for m in models if m.labels == ("wat",) * 3), None)
+    water = _water_triples(rows)
+    if model is None:
+        return water.select(F.lit(0).alias("cluster"), F.col("struct_id").alias("row_id"), F.lit(0.0).alias("loss"), F.lit(0).alias("place")).filter("false")
+    told = search.errors(water, model).join(water.select("struct_id", "r"), "struct_id")
+    return search.error_mining(told, 10, 100, 50)[1]
+
+
 def nbody_decomposed(spark: SparkSession, d: str) -> DataFrame:
     """Energies by every model of all combinations in every record, null where the cutoff rejects."""
     rows, models = _models(spark, d)
@@ -229,7 +240,7 @@ def nested_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("outer", "inner").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("e_mean"))
 
 
-QUERIES = {q.__name__: q for q in (matern_rows, kernel_energies, model_errors, model_round_trip, nbody_decomposed, nbody_totals, nbody_parts, nbody_sums, predictset_totals, strained_virial, sigma_trials, active_rounds, nested_clusters)}
+QUERIES = {q.__name__: q for q in (matern_rows, kernel_energies, model_errors, error_mining, model_round_trip, nbody_decomposed, nbody_totals, nbody_parts, nbody_sums, predictset_totals, strained_virial, sigma_trials, active_rounds, nested_clusters)}
 
 _POINTS = ATOMS + f""", sized as (select struct_id, len(z) as n_atoms from recs), pt as (select struct_id as sid, n_atoms, row_number() over (partition by n_atoms order by struct_id) - 1 as p from sized qualify p < {POINTS}),
 x0 as (select n_atoms, p, i, j, 1 / dist as v from pairs join pt on struct_id = sid), x as (select struct_id, n_atoms, i, j, 1 / dist as v from pairs join sized using (struct_id))"""

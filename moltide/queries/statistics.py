@@ -41,9 +41,9 @@ def losses_by_theory(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
     """rho * energy MSE + force MSE / atoms per data set."""
-    rows = _errors(spark, d)
-    force = F.avg("f_loss")
-    return rows.groupBy("dset_id").agg(F.round(0.1 * losses.mse(F.col("e_error")) + force / F.max(F.size("z")), 3).alias("loss"), F.round(losses.rmse(F.col("e_error")), 4).alias("e_rmse"), F.round(F.sqrt(force), 5).alias("f_rmse"))
+    rows = _errors(spark, d).withColumn("f_error", F.sqrt("f_loss"))  # a record's own RMS, so its square is the mean over the record
+    loss = losses.weighted(F.col("e_error"), F.col("f_error"), 0.1, F.size("z"))
+    return rows.groupBy("dset_id").agg(F.round(loss, 3).alias("loss"), F.round(losses.rmse(F.col("e_error")), 4).alias("e_rmse"), F.round(losses.rmse(F.col("f_error")), 5).alias("f_rmse"))
 
 
 def rdf_oxygen(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def problem_quotas(spark: SparkSession, d: str) -> DataFrame:
 def problem_records(spark: SparkSession, d: str) -> DataFrame:
     """The N_SELECT records of highest loss, shared out over the clusters."""
     rows, clusters = _clusters(spark, d)
-    return sampling.top_of_clusters(rows, sampling.cluster_quotas(clusters, N_SELECT)).select("cluster", "row_id", "loss", "place")
+    return sampling.top_of_clusters(rows, sampling.cluster_quotas(clusters, N_SELECT), N_SELECT).select("cluster", "row_id", "loss", "place")
 
 
 def rising_losses(spark: SparkSession, d: str) -> DataFrame:
@@ -116,18 +116,19 @@ def rising_losses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Force labels over their population standard deviation per data set: spread, and the first record's first label."""
-    x = records(spark, d).filter("size(f) = 3 * size(z)").select("dset_id", "struct_id", "f")
-    sd = x.select("dset_id", F.explode("f").alias("v")).groupBy("dset_id").agg(F.stddev_pop("v").alias("sd"), F.count("v").alias("n_labels"))
-    first = x.groupBy("dset_id").agg(F.min_by(F.get("f", F.lit(0)), "struct_id").alias("f0"))
-    return sd.join(first, "dset_id").filter("sd > 0").select("dset_id", "n_labels", F.round("sd", 5).alias("sd"), F.round(F.col("f0") / F.col("sd"), 4).alias("label0"))
+    """Force labels over their population standard deviation per data set: the spread, how many, and the scaled labels' mean size and mean square."""
+    x = records(spark, d).filter("size(f) = 3 * size(z)").select("dset_id", F.explode("f").alias("v"))
+    sd = x.groupBy("dset_id").agg(F.stddev_pop("v").alias("sd"), F.count("v").alias("n_labels")).filter("sd > 0")
+    scaled = x.join(sd, "dset_id").withColumn("y", F.col("v") / F.col("sd"))
+    return scaled.groupBy("dset_id", "n_labels", F.round("sd", 5).alias("sd")).agg(F.round(F.avg(F.abs("y")), 5).alias("mean_size"), F.round(F.avg(F.col("y") * F.col("y")), 5).alias("mean_square"))
 
 
 def integration_constant(spark: SparkSession, d: str) -> DataFrame:
-    """Mean offset, slope and correlation of energies against a one-number prediction (minus the mean force square) per data set."""
+    """Mean offset, sign of the slope and correlation of energies against a one-number prediction (minus the mean force square) per data set, and whether the constant is refused: too few records, a slope under 0, or hardly any correlation."""
     rows = _errors(spark, d).select("dset_id", F.col("e").alias("y"), (-F.col("f_loss")).alias("x"))
-    out = rows.groupBy("dset_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - F.col("x")).alias("c"), F.regr_slope("y", "x").alias("slope"), F.corr("y", "x").alias("corr"))
-    return out.filter("n >= 3").select("dset_id", "n", F.round("c", 3).alias("c"), F.round("corr", 4).alias("corr"))
+    out = rows.groupBy("dset_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - F.col("x")).alias("c"), F.signum(F.regr_slope("y", "x")).alias("slope_sign"), F.round(F.corr("y", "x"), 4).alias("corr"))
+    refused = (F.col("n") < 3) | F.coalesce((F.col("slope_sign") < 0) | (F.col("corr") < 0.95), F.lit(True))
+    return out.filter("n >= 3").select("dset_id", "n", F.round("c", 3).alias("c"), "slope_sign", "corr", refused.alias("refused"))
 
 
 def composition_fractions(spark: SparkSession, d: str) -> DataFrame:
@@ -194,9 +195,10 @@ ORACLE = {
     "problem_records": _QUOTA + ", p as (select *, row_number() over (partition by cluster order by loss desc, row_id) as place from rw) select p.cluster, row_id, p.loss, place from p join qt on p.cluster = qt.cluster where place <= quota",
     "rising_losses": _EN + """, sd as (select dset_id, round(stddev_pop(e), 3) as loss from en group by 1), nm as (select dset_id, arg_min(dset_name, loaded_at) as dset_name, arg_min(release_no, loaded_at) as release_no from datasets where dset_name is not null group by 1)
         select dset_name, release_no, dset_id, loss, coalesce(loss > lag(loss) over w, false) as rising, min(loss) over w as best from nm join sd using (dset_id) window w as (partition by dset_name order by release_no, dset_id)""",
-    "train_labels": RECS + """, b as (select * from recs where len(f) = 3 * len(z)), v as (select dset_id, unnest(f) as v from b), s2 as (select dset_id, stddev_pop(v) as sd, count(v) as n_labels from v group by 1), o as (select dset_id, arg_min(f[1], struct_id) as f0 from b group by 1)
-        select dset_id, n_labels, round(sd, 5) as sd, round(f0 / sd, 4) as label0 from s2 join o using (dset_id) where sd > 0""",
-    "integration_constant": _ERR + "select dset_id, count(*) as n, round(avg(e + f_loss), 3) as c, round(corr(e, -f_loss), 4) as corr from err group by 1 having count(*) >= 3",
+    "train_labels": RECS + """, v as (select dset_id, unnest(f) as v from recs where len(f) = 3 * len(z)), s2 as (select dset_id, stddev_pop(v) as sd, count(v) as n_labels from v group by 1)
+        select dset_id, n_labels, round(sd, 5) as sd, round(avg(abs(v / sd)), 5) as mean_size, round(avg((v / sd) ** 2), 5) as mean_square from v join s2 using (dset_id) where sd > 0 group by dset_id, n_labels, sd""",
+    "integration_constant": _ERR + """, g as (select dset_id, count(*) as n, round(avg(e + f_loss), 3) as c, sign(regr_slope(e, -f_loss))::double as slope_sign, round(corr(e, -f_loss), 4) as corr from err group by 1 having count(*) >= 3)
+        select *, coalesce(slope_sign < 0 or corr < 0.95, true) as refused from g""",
     "composition_fractions": """with p as (select dset_id, comp_ids from (select * from datasets qualify row_number() over (partition by dset_id order by loaded_at) = 1)), u as (select dset_id, unnest(comp_ids) as comp_id from p),
         c as (select dset_id, comp_id, count(*) as n from u group by 1, 2), k as (select *, case comp_id """ + " ".join(f"when '{k}' then {m}" for k, (m, _) in MOLECULES.items()) + " end as m, case comp_id " + " ".join(f"when '{k}' then {rho}" for k, (_, rho) in MOLECULES.items()) + """ end as rho from c),
         w as (select *, n * m / sum(n * m) over (partition by dset_id) as w from k where m is not null), q as (select *, sum(w * rho) over (partition by dset_id) as density from w)
