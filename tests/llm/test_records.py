@@ -140,7 +140,7 @@ def test_the_embedding_decides(spark, folder, monkeypatch):
     """Without power iteration the anchors of clusters that lie in several cells don't meet; with one that doesn't separate nothing is told."""
     d, _ = folder
     v = materialise(vectors.vectors(spark, d), "v")
-    cells = vectors.fit_cells(v, cell_rows=3)
+    cells = vectors.fit_cells(v, cell_rows=5)
     pairs = lambda: {tuple(x) for x in grouping.clusters(v, cells).select("cluster_id", "struct_id").collect()}
     want = {tuple(x) for x in queries._clusters(spark, d).select("cluster_id", "struct_id").collect()}
     assert pairs() == want
