@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltide.functions.chemistry import mass, symbol
-from moltide.sources.tables import first_delivery, join_dimension
+from moltide.sources.tables import first_delivery, join_dimension, spread
 
 
 def once(structures: DataFrame, key: str = "struct_id") -> DataFrame:
@@ -18,7 +18,7 @@ def once(structures: DataFrame, key: str = "struct_id") -> DataFrame:
     late = F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz"))
     times = structures.select(key, late.alias("_at")).groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"))
     repeated = times.groupBy(key).agg(F.min("_at").alias("_first"), F.min_by("_n", "_at").alias("_ties"), F.sum("_n").alias("_all")).filter("_all > 1").drop("_all")
-    rows = join_dimension(structures, repeated, key, "left").filter(F.col("_first").isNull() | (late == F.col("_first")))
+    rows = join_dimension(spread(structures), repeated, key, "left").filter(F.col("_first").isNull() | (late == F.col("_first")))
     tied = rows.filter("_ties > 1").drop("_first", "_ties")
     single = rows.filter("coalesce(_ties, 1) = 1").drop("_first", "_ties")
     return single.unionByName(tied.dropDuplicates([key])) if repeated.filter("_ties > 1").limit(1).count() else single

@@ -44,3 +44,13 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, on: str | list[str],
     """Join a materialised dimension table, broadcast only after its row count was checked."""
     small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return facts.join(F.broadcast(dimension) if small else dimension.hint("merge"), on, how)
+
+
+#: A table of fewer bytes is dealt out over the cores before row-wise work: it may lie in one piece, and the shuffle costs next to nothing.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the session has cores if it is small; larger tables stay as they lie, so nothing of them is shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
